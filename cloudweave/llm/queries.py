@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cloudweave.llm.common import CRC_SQL
 from cloudweave.llm.langid import op4_langid
+from cloudweave.llm.packing import op3_packing
 from cloudweave.llm.sharding import OP10_SQL, op10_stratified_shards
 from cloudweave.llm.simhash import op1_simhash
 from cloudweave.llm.telephony import op9_telephony
@@ -16,6 +17,7 @@ from cloudweave.llm.telephony import op9_telephony
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op3_packing": op3_packing,
         "op4_langid": op4_langid,
         "op9_telephony": op9_telephony,
         "op10_stratified_shards": op10_stratified_shards,
