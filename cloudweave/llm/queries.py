@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cloudweave.llm.classlm import op5_classlm
 from cloudweave.llm.common import CRC_SQL
 from cloudweave.llm.langid import op4_langid
 from cloudweave.llm.packing import op3_packing
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op3_packing": op3_packing,
         "op4_langid": op4_langid,
+        "op5_classlm": op5_classlm,
         "op9_telephony": op9_telephony,
         "op10_stratified_shards": op10_stratified_shards,
     }
