@@ -10,6 +10,7 @@ from cloudweave.llm.classlm import op5_classlm
 from cloudweave.llm.common import CRC_SQL
 from cloudweave.llm.langid import op4_langid
 from cloudweave.llm.packing import op3_packing
+from cloudweave.llm.pii import op6_pii
 from cloudweave.llm.sharding import OP10_SQL, op10_stratified_shards
 from cloudweave.llm.simhash import op1_simhash
 from cloudweave.llm.telephony import op9_telephony
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_langid": op4_langid,
         "op5_classlm": op5_classlm,
+        "op6_pii": op6_pii,
         "op9_telephony": op9_telephony,
         "op10_stratified_shards": op10_stratified_shards,
     }
