@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cloudweave.llm.ann import op7_ann
 from cloudweave.llm.classlm import op5_classlm
 from cloudweave.llm.common import CRC_SQL
 from cloudweave.llm.langid import op4_langid
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_langid": op4_langid,
         "op5_classlm": op5_classlm,
         "op6_pii": op6_pii,
+        "op7_ann": op7_ann,
         "op9_telephony": op9_telephony,
         "op10_stratified_shards": op10_stratified_shards,
     }
