@@ -10,6 +10,7 @@ from cloudweave.llm.ann import op7_ann
 from cloudweave.llm.classlm import op5_classlm
 from cloudweave.llm.common import CRC_SQL
 from cloudweave.llm.langid import op4_langid
+from cloudweave.llm.licenses import op2_licenses
 from cloudweave.llm.packing import op3_packing
 from cloudweave.llm.pii import op6_pii
 from cloudweave.llm.sharding import OP10_SQL, op10_stratified_shards
@@ -20,6 +21,7 @@ from cloudweave.llm.telephony import op9_telephony
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_licenses": op2_licenses,
         "op3_packing": op3_packing,
         "op4_langid": op4_langid,
         "op5_classlm": op5_classlm,
