@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from cloudweave.llm.common import documents, fold, materialise, session_for, text_bytes
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Size of the dictionary that every worker holds.
-HEAD = 1 << 19
+#: Most words in the dictionary that every worker holds.
+HEAD = 1 << 17
 CLUSTERED, CLASSES, SWEEPS = 1024, 64, 6
 SMOOTHING = 10.0
 #: Distinct words a counting task holds before it hands them on.
@@ -87,6 +87,25 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return parts.groupBy("w").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
+def head_words(counts: DataFrame, most: int) -> list[tuple[bytes, int, int]]:
+    """(word, tail, count) of the words from a count on, most frequent first: as many as don't exceed ``most``.
+
+    The least count comes from a histogram of a few hundred steps of the logarithm, so no task sorts the vocabulary.
+    """
+    counts = counts.withColumn("step", F.floor(F.log2("c") * 16))
+    sizes = sorted(((r["step"], r["n"]) for r in counts.groupBy("step").agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for step, n in sizes:
+        if held + n > most:
+            break
+        least, held = step, held + n
+    if least is None:
+        return []
+    found = counts.where(F.col("step") >= least).select("w", "tail", "c").toArrow()
+    words = zip(*(found.column(x).to_pylist() for x in ("w", "tail", "c")), strict=True)
+    return sorted(words, key=lambda x: (-x[2], x[0]))
+
+
 def bigram_counts(texts: DataFrame, words: list[bytes]) -> np.ndarray:
     """Counts of successive (clustered word | last-byte class | end), all texts together."""
     m = len(words)
@@ -206,7 +225,7 @@ def learn(texts: DataFrame, head: int = HEAD, clustered: int = CLUSTERED, classe
     n_texts = texts.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] + n_texts, total["v"] + (n_texts > 0)
-    top = [(bytes(r["w"]), r["tail"], r["c"]) for r in counts.orderBy(F.desc("c"), "w").limit(head).collect()]
+    top = head_words(counts, head)
     m = min(clustered, len(top))
     bigrams = bigram_counts(texts, [w for w, _, _ in top[:m]])
     of = exchange(bigrams, m, min(classes, max(m, 1)))
