@@ -205,21 +205,29 @@ class Segmenter:
 
     def learn(self, chunks: set[str]) -> None:
         """Segment chunks that aren't held yet."""
-        new = sorted(c for c in chunks if c not in self.row)
+        new = sorted(chunks - self.row.keys())
         if not new:
             return
-        wide = [c for c in new if len(c) <= WIDE and all(self.single[list(map(ord, c))])]
-        wide.sort(key=len)
-        got: dict[str, tuple] = {}
-        for lo in range(0, len(wide), 1 << 13):
-            part = wide[lo : lo + (1 << 13)]
-            got.update(zip(part, zip(*self._together(part), strict=True), strict=True))
-        rows = [got[c] if c in got else self._alone(c) for c in new]
-        for c in new:
-            self.row[c] = len(self.row)
-        self.best = np.concatenate([self.best, [r[0] for r in rows]])
-        self.gap = np.concatenate([self.gap, [r[1] for r in rows]])
-        self.bytes.extend(r[2] for r in rows)
+        size = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        flat = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        usual = np.logical_and.reduceat(self.single[flat], np.cumsum(size) - size) & (size <= WIDE)
+        order = np.flatnonzero(usual)[np.argsort(size[usual], kind="stable")].tolist()
+        best, gap, made = [self.best], [self.gap], []
+        for lo in range(0, len(order), 1 << 13):
+            part = [new[i] for i in order[lo : lo + (1 << 13)]]
+            self.row.update(zip(part, range(len(self.row), len(self.row) + len(part)), strict=True))
+            b, g, ids = self._together(part)
+            best.append(b)
+            gap.append(g)
+            made += ids
+        for i in np.flatnonzero(~usual).tolist():
+            self.row[new[i]] = len(self.row)
+            b, g, ids = self._alone(new[i])
+            best.append(np.array([b]))
+            gap.append(np.array([g]))
+            made.append(ids)
+        self.best, self.gap = np.concatenate(best), np.concatenate(gap)
+        self.bytes += made
 
     def options(self, chunk: str) -> list[tuple[float, bytes]]:
         if chunk not in self.several:

@@ -11,6 +11,7 @@ from cloudweave.llm.classlm import op5_classlm
 from cloudweave.llm.common import CRC_SQL
 from cloudweave.llm.langid import op4_langid
 from cloudweave.llm.licenses import op2_licenses
+from cloudweave.llm.nbest import op8_nbest
 from cloudweave.llm.packing import op3_packing
 from cloudweave.llm.pii import op6_pii
 from cloudweave.llm.sharding import OP10_SQL, op10_stratified_shards
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_classlm": op5_classlm,
         "op6_pii": op6_pii,
         "op7_ann": op7_ann,
+        "op8_nbest": op8_nbest,
         "op9_telephony": op9_telephony,
         "op10_stratified_shards": op10_stratified_shards,
     }
