@@ -64,3 +64,9 @@ CRC_SQL = """crc_nibble AS (
          4294967295::BIGINT), 4294967295::BIGINT) END AS crc
   FROM text_hex, crc_nibble
 )"""
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of our own where it is unset."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "cloudweave-checkpoints")

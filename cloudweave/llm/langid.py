@@ -175,8 +175,8 @@ def learn(labelled: DataFrame, dim: int = DIM, rows_per_lang: int = ROWS_PER_LAN
     return langs, prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-9)
 
 
-def predict(df: DataFrame, langs: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score): the best language's name and its cosine, not below 0."""
+def predict(df: DataFrame, langs: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score): the best language's name and its cosine, not below 0. ``carry`` names columns handed through."""
     session_for(df)
     dim = prototypes.shape[1]
     against = prototypes.T.astype(np.float32)
@@ -193,16 +193,32 @@ def predict(df: DataFrame, langs: list[str], prototypes: np.ndarray, id_col: str
                 best = cosine.argmax(axis=1)
                 names[known] = np.array(langs, dtype=object)[best[known]]
                 score[known] = np.clip(cosine[np.arange(len(best)), best][known], 0, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names.tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(names.tolist(), pa.string()), pa.array(score), *b.columns[2:]], names=["doc_id", "lang_pred", "score", *[f"_carry_{c}" for c in carry]]
+            )
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_t"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_t"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
+    schema += "".join(f", `_carry_{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    found = rows.mapInArrow(run, schema)
+    return found.withColumnsRenamed({f"_carry_{c}": c for c in carry}) if carry else found
 
 
 def held_out(id_col: str = "doc_id"):
     return fold(id_col, 3) == 1
 
 
+def keep_known(df: DataFrame) -> DataFrame:
+    """The rows of documents that are in some language, as they are: null texts and texts without a letter go."""
+    session_for(df)
+    langs, prototypes = learn(df.where(~held_out()).select("doc_id", "text", "lang"))
+    others = tuple(c for c in df.columns if c != "doc_id")
+    found = predict(df, langs, prototypes, carry=others)
+    # Where nothing could be learned every text is unknown: then letters alone decide.
+    known = F.col("lang_pred") != UNKNOWN if langs else F.col("text").rlike("\\p{L}")
+    return found.where(known).select(*df.columns)
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     session_for(docs)

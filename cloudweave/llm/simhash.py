@@ -200,3 +200,146 @@ def keep_one_of_each(df: DataFrame, classes: DataFrame, id_col: str = "doc_id")
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_classes(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near duplicates by similarity: SimHash of the distinct words proposes, the shingle sets decide.
+
+SIMILARITY = 0.8
+SHINGLE_WORDS = 5
+WIDE_BYTES = 16
+#: Sets of four of 16 byte positions under which fingerprints are posted; a pair of similarity 0.8 shares about ten bytes.
+WIDE_KEYS = 100
+WIDE_BITS = 24
+#: Members of one key of which every pair within WIDE_BITS is proposed; more are linked by spreading from few of them.
+ALL_PAIRS = 24
+SLICE = 1 << 16
+
+
+def shingle_set(words: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; fewer words than a shingle make one."""
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    last = ends[size - 1 :].tolist() or [len(joined)]
+    first = [0, *(ends[: len(last) - 1] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(first, last, strict=True)], dtype=np.uint64))
+
+
+def word_fingerprint(words: list[bytes]) -> tuple[int, int]:
+    """Two 64-bit SimHashes, with different seeds, of the distinct words."""
+    out = [0, 0]
+    distinct = list(set(words))
+    for k in range(2) if distinct else ():
+        h = np.array([xxhash.xxh64_intdigest(w, k + 1) for w in distinct], dtype="<u8")
+        counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = int(np.packbits(2 * counts > len(distinct), bitorder="little").view("<u8")[0])
+    return out[0], out[1]
+
+
+def wide_key_sets(keys: int = WIDE_KEYS) -> list[tuple[int, ...]]:
+    every = list(itertools.combinations(range(WIDE_BYTES), 4))
+    return [every[i] for i in sorted(np.random.default_rng(1).permutation(len(every))[:keys].tolist())]
+
+
+def _proposals(nodes: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of one key within WIDE_BITS: all of them among few members, a forest among many."""
+    n = len(nodes)
+    if n <= ALL_PAIRS:
+        i, j = np.triu_indices(n, 1)
+        good = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= WIDE_BITS
+        return nodes[i[good]], nodes[j[good]]
+    src, dst = [], []
+    heads: list[int] = []
+    for lo in range(0, n, SLICE):
+        left = np.concatenate([np.array(heads, dtype=np.int64), np.arange(lo, min(n, lo + SLICE))])
+        while len(left):
+            i, left = left[0], left[1:]
+            if i >= lo:
+                heads.append(int(i))
+            near = np.bitwise_count(fps[left] ^ fps[i]).sum(axis=1) <= WIDE_BITS
+            hit = left[near & (left >= lo)]
+            src.append(np.full(len(hit), nodes[i]))
+            dst.append(nodes[hit])
+            left = left[~(near & (left >= lo))]
+    return np.concatenate(src), np.concatenate(dst)
+
+
+def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): documents linked by a Jaccard similarity of their five-word shingles of ``similarity`` or more.
+
+    Documents with equal shingle sets are one node. Rows of one id count as one document; null ids stay alone (null class).
+    Pairs are proposed by 128-bit SimHashes of the distinct words through the positional index and verified exactly.
+    """
+    session_for(df)
+    texts = df.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("_t")).where("doc_id is not null")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lo, hi, digest = [], [], []
+            for t in b.column(1):
+                words = t.as_py().translate(LOWER).split()
+                x, y = word_fingerprint(words)
+                lo.append(x)
+                hi.append(y)
+                digest.append(xxhash.xxh3_128_digest(shingle_set(words).tobytes()))
+            fps = [pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (lo, hi)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *fps, pa.array(digest, pa.binary())], names=["doc_id", "lo", "hi", "digest"])
+
+    docs = materialise(texts.mapInArrow(sketch, f"doc_id {kind}, lo long, hi long, digest binary"))
+    reps = materialise(docs.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("lo").alias("lo"), F.min("hi").alias("hi")))
+    byte = [F.shiftrightunsigned("lo" if p < 8 else "hi", 8 * (p % 8)).bitwiseAND(F.lit(255)) for p in range(WIDE_BYTES)]
+    keys = []
+    for n, positions in enumerate(wide_key_sets()):
+        key = F.lit(n).cast("long")
+        for p in positions:
+            key = F.shiftleft(key, 8).bitwiseOR(byte[p])
+        keys.append(key)
+    posted = reps.select(F.explode(F.array(*keys)).alias("k"), "lo", "hi", "node")
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                new = pa.Table.from_batches([b])
+                held = new if held is None else pa.concat_tables([held, new])
+            if held is None or not held.num_rows:
+                continue
+            k = held.column(0).to_numpy()
+            end = len(k) if b is None else int(np.searchsorted(k, k[-1]))
+            if not end:
+                continue
+            cut = np.flatnonzero(np.diff(k[:end])) + 1
+            start, stop = np.concatenate([[0], cut]), np.append(cut, end)
+            fps = np.stack([held.column(c).to_numpy()[:end].view(np.uint64) for c in (1, 2)], axis=1)
+            nodes = np.array(held.column(3).to_pylist()[:end], dtype=object)
+            src, dst = [], []
+            for s, e in zip(start[stop - start > 1], stop[stop - start > 1], strict=True):
+                x, y = _proposals(nodes[s:e], fps[s:e])
+                src += x.tolist()
+                dst += y.tolist()
+            kinds = held.schema.field(3).type
+            held = held.slice(end)
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(src, kinds), pa.array(dst, kinds)], names=["src", "dst"])
+
+    found = posted.repartition("k").sortWithinPartitions("k", "lo", "hi").mapInArrow(propose, f"src {kind}, dst {kind}")
+    pairs = materialise(found.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    wanted = pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [shingle_set(t.as_py().translate(LOWER).split()).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "s"])
+
+    shingled = materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, s array<long>"))
+    both = pairs.join(shingled.select(F.col("doc_id").alias("src"), F.col("s").alias("a")), "src").join(
+        shingled.select(F.col("doc_id").alias("dst"), F.col("s").alias("b")), "dst"
+    )
+    shared = F.size(F.array_intersect("a", "b"))
+    similar = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("src", "dst").distinct()
+    classes = connected_components(materialise(similar))
+    named = reps.join(classes, reps["node"] == classes["node"], "left").select("digest", F.coalesce("component", reps["node"]).alias("component_id"))
+    return docs.join(named, "digest").select("doc_id", "component_id")
