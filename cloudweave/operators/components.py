@@ -43,5 +43,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         star = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         now = _summary(star)
         if now == seen:
-            return star.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            named = star.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return named.unionByName(named.select(F.col("component").alias("node"), "component").distinct())
         seen = now

@@ -1,21 +1,20 @@
-"""Registered queries over the driver's tables and the SQL each is compared with."""
+"""All registered queries over the driver's tables and the SQL each is compared with."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from cloudweave.plans import cleaning, clustering  # noqa: F401  (they register their queries)
+from cloudweave.plans.registry import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["projection_density_count"](spark, sf_dir)
+    return QUERIES["dbscan"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
