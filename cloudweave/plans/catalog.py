@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudweave.plans import cleaning, clustering, labelling, models, occupancy, peaks  # noqa: F401  (they register their queries)
+from cloudweave.plans import cleaning, clustering, labelling, models, occupancy, peaks, sources  # noqa: F401  (they register their queries)
 from cloudweave.plans.registry import QUERIES, SQL, Query
 
 
