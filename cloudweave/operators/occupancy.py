@@ -298,8 +298,8 @@ def expand(cells: DataFrame, depth: int = DEPTH) -> DataFrame:
     unit, half = 1 << (DEPTH - depth), (1 << (DEPTH - depth)) // 2
     out = cells.where(F.col("depth") < depth)
     for k in KEYS:
-        base = F.floor(F.col(k) / width) * width
-        out = out.withColumn(k, F.explode(F.transform(F.sequence(F.lit(0), side - 1), lambda n, base=base: (base + n * unit + half).cast("int"))))
+        first = (F.floor(F.col(k) / width) * width + half).cast("int")
+        out = out.withColumn(k, F.explode(F.sequence(first, first + (side - 1) * unit, F.lit(unit))))
     return out.withColumn("depth", F.lit(depth)).unionByName(cells.where(F.col("depth") >= depth))
 
 
