@@ -98,9 +98,13 @@ def n_best(pieces: Pieces, chunk: str, n: int) -> list[tuple[float, tuple[int, .
         for start, _, s in edges[end]:
             forward[end] = max(forward[end], forward[start] + s)
     # A state is a suffix: (minus its best total, tie break, start, its own score, linked ids).
-    heap, count, out = [(-forward[-1], 0, len(chunk), 0.0, None)], 0, []
+    # Suffixes that start at one place are met best first, so only the n first of a place can be part of the n best: ties stay cheap.
+    heap, count, out, met = [(-forward[-1], 0, len(chunk), 0.0, None)], 0, [], [0] * (len(chunk) + 1)
     while heap and len(out) < n:
         _, _, at, own, link = heapq.heappop(heap)
+        met[at] += 1
+        if met[at] > n:
+            continue
         if at == 0:
             ids: list[int] = []
             while link is not None:
