@@ -42,8 +42,8 @@ class Encoder:
         self.alpha = np.full(0x110000, -1, dtype=np.int8)
         self.grams: tuple[tuple, np.ndarray] | None = None
 
-    def _space(self, codes: np.ndarray) -> np.ndarray:
-        """Code points with every run of other than letters turned into one space."""
+    def _space(self, codes: np.ndarray, after_letter: bool) -> np.ndarray:
+        """Code points with every run of other than letters turned into one space; a run at the start counts only after a letter."""
         state = self.alpha[codes]
         if (state < 0).any():
             for c in np.unique(codes[state < 0]).tolist():
@@ -52,6 +52,7 @@ class Encoder:
         is_letter = state > 0
         keep = is_letter.copy()
         keep[1:] |= is_letter[:-1]
+        keep[:1] |= after_letter
         return np.where(is_letter, codes, 32)[keep]
 
     def _letter(self, c: int) -> np.ndarray:
@@ -103,17 +104,16 @@ class Encoder:
         """(vectors, has a letter) of the texts; a text is framed by spaces."""
         total = np.zeros((len(texts), self.dim), dtype=np.float32)
         lettered = np.zeros(len(texts), dtype=bool)
-        parts, owners, held = [], [], 0
+        # Every piece of a text is an owner of its own, so no n-gram is counted across two of them.
+        parts, rows, held = [], [], 0
 
         def flush() -> None:
             nonlocal held
             if parts:
-                who = np.concatenate(owners)
-                new = np.append(True, who[1:] != who[:-1])
-                rows, who = who[new], np.cumsum(new) - 1
-                total[rows] += self._bundle(np.concatenate(parts), who, len(rows))
+                who = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                np.add.at(total, np.array(rows), self._bundle(np.concatenate(parts), who, len(parts)))
             parts.clear()
-            owners.clear()
+            rows.clear()
             held = 0
 
         for row, text in enumerate(texts):
@@ -123,15 +123,13 @@ class Encoder:
             tail = np.array([32], dtype=np.uint32)
             for at in range(0, len(text), PIECE):
                 raw = text[at : at + PIECE].lower().encode("utf-32-le", "replace")
-                codes = self._space(np.frombuffer(raw, dtype=np.uint32))
-                if at + PIECE >= len(text):
-                    codes = np.append(codes, np.uint32(32))
-                if len(codes) and tail[-1] == 32:
-                    codes = codes[int(codes[0] == 32) :]
+                codes = self._space(np.frombuffer(raw, dtype=np.uint32), bool(tail[-1] != 32))
                 lettered[row] |= bool((codes != 32).any())
                 codes = np.concatenate([tail, codes])
+                if at + PIECE >= len(text) and codes[-1] != 32:
+                    codes = np.append(codes, np.uint32(32))
                 parts.append(codes)
-                owners.append(np.full(len(codes), row))
+                rows.append(row)
                 held += len(codes)
                 tail = codes[-(self.order - 1) :]
                 if held >= PIECE:
@@ -212,11 +210,14 @@ def keep_known(df: DataFrame) -> DataFrame:
     """The rows of documents that are in some language, as they are: null texts and texts without a letter go."""
     session_for(df)
     langs, prototypes = learn(df.where(~held_out()).select("doc_id", "text", "lang"))
-    others = tuple(c for c in df.columns if c != "doc_id")
-    found = predict(df, langs, prototypes, carry=others)
+    # Columns travel under names that clash with nothing.
+    kept = {f"_keep{n}": c for n, c in enumerate(df.columns)}
+    plain = df.select("doc_id", "text", *[F.col(c).alias(k) for k, c in kept.items()])
+    found = predict(plain, langs, prototypes, carry=tuple(kept))
     # Where nothing could be learned every text is unknown: then letters alone decide.
-    known = F.col("lang_pred") != UNKNOWN if langs else F.col("text").rlike("\\p{L}")
-    return found.where(known).select(*df.columns)
+    text = next(k for k, c in kept.items() if c == "text")
+    known = F.col("lang_pred") != UNKNOWN if langs else F.col(text).rlike("\\p{L}")
+    return found.where(known).select(*[F.col(k).alias(c) for k, c in kept.items()])
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
