@@ -139,10 +139,11 @@ class Graph:
             while p < len(label_at) and label_at[p][1] <= start:
                 p += 1
             self.gold.append(label_at[p][2] if p < len(label_at) and label_at[p][0] < end else OUTSIDE)
-            if before is not None and start - self.span[before][1] <= 3:
-                self.chain.append((before, n))
+            chained = before if before is not None and start - self.span[before][1] <= 3 else None
+            if chained is not None:
+                self.chain.append((chained, n))
             if (key := signature(token)) is not None:
-                if key in seen and seen[key] != before:
+                if key in seen and seen[key] != chained:
                     self.skip.append((seen[key], n))
                 seen[key] = n
             before = n
