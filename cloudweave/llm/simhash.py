@@ -20,6 +20,7 @@ their fingerprint (null if it has no other id); an empty table gives no rows; ex
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -202,16 +203,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near duplicates by similarity: SimHash of the distinct words proposes, the shingle sets decide.
+# Near duplicates by similarity: shared rare shingles propose, the shingle sets decide.
 
 SIMILARITY = 0.8
 SHINGLE_WORDS = 5
-WIDE_BYTES = 16
-#: Sets of four of 16 byte positions under which fingerprints are posted; a pair of similarity 0.8 shares about ten bytes.
-WIDE_KEYS = 100
-WIDE_BITS = 24
-#: Members of one key of which every pair within WIDE_BITS is proposed; more are linked by spreading from few of them.
+#: Members of one shingle of which every pair is proposed; larger crowds are linked in rounds.
 ALL_PAIRS = 24
+#: Rounds in which a crowd tests one member against all others; then every pair still apart is tested.
+ROUNDS = 6
+#: Documents that the order of shingles is drawn from: a share of the table, and this many at least.
+ORDER_ROWS, ORDER_SHARE = 20_000, 0.02
+#: Shingles found this often there, the most frequent first, come last in the order.
+ORDER_LEAST, ORDER_HELD = 3, 1 << 17
+#: Postings a proposing task looks at together.
+HELD_ROWS = 1 << 15
+WIDE_BITS = 24
 SLICE = 1 << 16
 
 
@@ -227,24 +233,8 @@ def shingle_set(words: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b]) for a, b in zip(first, last, strict=True)], dtype=np.uint64))
 
 
-def word_fingerprint(words: list[bytes]) -> tuple[int, int]:
-    """Two 64-bit SimHashes, with different seeds, of the distinct words."""
-    out = [0, 0]
-    distinct = list(set(words))
-    for k in range(2) if distinct else ():
-        h = np.array([xxhash.xxh64_intdigest(w, k + 1) for w in distinct], dtype="<u8")
-        counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = int(np.packbits(2 * counts > len(distinct), bitorder="little").view("<u8")[0])
-    return out[0], out[1]
-
-
-def wide_key_sets(keys: int = WIDE_KEYS) -> list[tuple[int, ...]]:
-    every = list(itertools.combinations(range(WIDE_BYTES), 4))
-    return [every[i] for i in sorted(np.random.default_rng(1).permutation(len(every))[:keys].tolist())]
-
-
 def _proposals(nodes: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes of one key within WIDE_BITS: all of them among few members, a forest among many."""
+    """Pairs of nodes of one key within WIDE_BITS: all of them among few members, a forest among many. near_duplicate_classes has no use for it."""
     n = len(nodes)
     if n <= ALL_PAIRS:
         i, j = np.triu_indices(n, 1)
@@ -266,80 +256,176 @@ def _proposals(nodes: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(src), np.concatenate(dst)
 
 
-def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): documents linked by a Jaccard similarity of their five-word shingles of ``similarity`` or more.
+def _rare_first(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles of a set in the order of all sets: by rank, 0 for those not in ``common`` (sorted), then by hash."""
+    if not len(common) or not len(s):
+        return s
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    return s[np.argsort(np.where(common[at] == s, rank[at], 0), kind="stable")]
+
+
+def _prefix(n: int, similarity: float) -> int:
+    """Sets that are similar share one of so many first shingles of each: they share ``similarity`` * n of either at least."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _reach(n1, pos1, n2, pos2, similarity: float, least):
+    """Can sets of n1 and n2 shingles be similar if their first shared ones are at these places?"""
+    return least(n1 - pos1, n2 - pos2) >= similarity / (1 + similarity) * (n1 + n2) - 1e-6
+
+
+def _shingle_order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles sorted by hash, rank) of frequent shingles, from a sample. Any order finds all pairs; this one keeps crowds small."""
+    share = max(ORDER_SHARE, ORDER_ROWS / max(1, texts.count()))
+    drawn = texts if share >= 1 else texts.where(F.pmod(F.xxhash64(F.lit("order"), "doc_id", "h"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [shingle_set(t.as_py().translate(LOWER).split()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s).view(np.int64) if s else [], pa.int64())], names=["k"])
+
+    counts = drawn.select("_t").mapInArrow(run, "k long").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= ORDER_LEAST)
+    found = counts.orderBy(F.desc("n"), "k").limit(ORDER_HELD).toArrow()
+    k, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    by_hash = np.argsort(k)
+    return k[by_hash], n[by_hash]
+
+
+def _similar(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose texts (node, _t) have similar shingle sets. Texts take less room in the joins than their sets."""
+    both = pairs.join(known.select(F.col("node").alias("src"), F.col("_t").alias("a")), "src").join(
+        known.select(F.col("node").alias("dst"), F.col("_t").alias("b")), "dst"
+    )
 
-    Documents with equal shingle sets are one node. Rows of one id count as one document; null ids stay alone (null class).
-    Pairs are proposed by 128-bit SimHashes of the distinct words through the positional index and verified exactly.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                u, v = (shingle_set(t.as_py().translate(LOWER).split()) for t in (x, y))
+                shared = len(np.intersect1d(u, v, assume_unique=True))
+                good.append(shared >= similarity * (len(u) + len(v) - shared))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+
+
+def _ordered(src, dst) -> list:
+    return [F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst")]
+
+
+def _link_crowds(crowds: DataFrame, similar: DataFrame, known: DataFrame, similarity: float, rounds: int = ROUNDS) -> DataFrame:
+    """similar, with links enough to join all similar members of each crowd (k, node, n, pos).
+
+    A round tests the member with most links so far against all those of its crowd in other components, and then leaves it out;
+    crowds within one component are done. After ``rounds`` rounds every pair that is still apart is tested, so nothing is missed.
     """
+    for turn in range(rounds + 1):
+        if crowds.isEmpty():
+            break
+        component = connected_components(similar).select("node", F.col("component").alias("c"))
+        degree = similar.select(F.col("src").alias("node")).union(similar.select("dst")).groupBy("node").agg(F.count("*").alias("links"))
+        placed = crowds.join(component, "node", "left").join(degree, "node", "left").select(
+            "k", "node", "n", "pos", F.coalesce("c", "node").alias("c"), F.coalesce("links", F.lit(0)).alias("links")
+        )
+        placed = materialise(placed)
+        lead = F.max(F.struct("links", F.xxhash64("node").alias("r"), "node", "n", "pos", "c")).alias("lead")
+        split = placed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), lead).where("lo <> hi").select("k", "lead")
+        left = placed.join(split, "k")
+        if turn < rounds:
+            some = left.where((F.col("c") != F.col("lead.c")) & _reach(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), similarity, F.least))
+            pairs = some.select(*_ordered(F.col("node"), F.col("lead.node"))).distinct()
+        else:
+            x, y = left.drop("lead").alias("x"), left.drop("lead").alias("y")
+            apart = (F.col("x.k") == F.col("y.k")) & (F.col("x.c") < F.col("y.c"))
+            near = _reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), similarity, F.least)
+            pairs = x.join(y, apart & near).select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
+        similar = materialise(similar.union(_similar(pairs, known, similarity)).distinct())
+        crowds = materialise(left.where(F.col("node") != F.col("lead.node")).select("k", "node", "n", "pos"))
+    return similar
+
+
+def _near_duplicate_rows(df: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(doc_id, h, c) of the rows that have an id: h hashes the text, c is a value of the class."""
     session_for(df)
-    texts = df.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("_t")).where("doc_id is not null")
+    texts = df.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("_t")).where("doc_id is not null").withColumn("h", F.xxhash64("_t"))
     kind = texts.schema["doc_id"].dataType.simpleString()
+    order = df.sparkSession.sparkContext.broadcast(_shingle_order(texts))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lo, hi, digest = [], [], []
+            node, first, n = [], [], []
             for t in b.column(1):
-                words = t.as_py().translate(LOWER).split()
-                x, y = word_fingerprint(words)
-                lo.append(x)
-                hi.append(y)
-                digest.append(xxhash.xxh3_128_digest(shingle_set(words).tobytes()))
-            fps = [pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (lo, hi)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *fps, pa.array(digest, pa.binary())], names=["doc_id", "lo", "hi", "digest"])
-
-    docs = materialise(texts.mapInArrow(sketch, f"doc_id {kind}, lo long, hi long, digest binary"))
-    reps = materialise(docs.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("lo").alias("lo"), F.min("hi").alias("hi")))
-    byte = [F.shiftrightunsigned("lo" if p < 8 else "hi", 8 * (p % 8)).bitwiseAND(F.lit(255)) for p in range(WIDE_BYTES)]
-    keys = []
-    for n, positions in enumerate(wide_key_sets()):
-        key = F.lit(n).cast("long")
-        for p in positions:
-            key = F.shiftleft(key, 8).bitwiseOR(byte[p])
-        keys.append(key)
-    posted = reps.select(F.explode(F.array(*keys)).alias("k"), "lo", "hi", "node")
+                s = shingle_set(t.as_py().translate(LOWER).split())
+                node.append(xxhash.xxh3_128_digest(s.tobytes()))
+                first.append(_rare_first(s, *order.value)[: _prefix(len(s), similarity)].view(np.int64))
+                n.append(len(s))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(node, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(n, pa.int32())], names=["doc_id", "h", "node", "first", "n"]
+            )
+
+    docs = materialise(texts.mapInArrow(sketch, f"doc_id {kind}, h long, node binary, first array<long>, n int"))
+    # Nodes get numbers, which stay as they are once materialised.
+    reps = docs.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("r")).select(F.col("node").alias("digest"), "r.*")
+    reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()))
+    own = docs.withColumnRenamed("node", "digest").join(reps, ["digest", "doc_id", "h"])
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    posted = own.select("node", "n", F.posexplode("first").alias("pos", "k")).select("k", "node", place.alias("p"))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        """Pairs of small keys, smaller node first, with k and p zero; the members of large ones, with dst null."""
+        held: list[pa.RecordBatch] = []
+        rows, least = 0, HELD_ROWS
         for b in itertools.chain(batches, [None]):
             if b is not None:
-                new = pa.Table.from_batches([b])
-                held = new if held is None else pa.concat_tables([held, new])
-            if held is None or not held.num_rows:
-                continue
-            k = held.column(0).to_numpy()
-            end = len(k) if b is None else int(np.searchsorted(k, k[-1]))
-            if not end:
+                held.append(b)
+                rows += b.num_rows
+            if not rows or (b is not None and rows < least):
                 continue
-            cut = np.flatnonzero(np.diff(k[:end])) + 1
-            start, stop = np.concatenate([[0], cut]), np.append(cut, end)
-            fps = np.stack([held.column(c).to_numpy()[:end].view(np.uint64) for c in (1, 2)], axis=1)
-            nodes = np.array(held.column(3).to_pylist()[:end], dtype=object)
-            src, dst = [], []
-            for s, e in zip(start[stop - start > 1], stop[stop - start > 1], strict=True):
-                x, y = _proposals(nodes[s:e], fps[s:e])
-                src += x.tolist()
-                dst += y.tolist()
-            kinds = held.schema.field(3).type
-            held = held.slice(end)
-            if src:
-                yield pa.RecordBatch.from_arrays([pa.array(src, kinds), pa.array(dst, kinds)], names=["src", "dst"])
-
-    found = posted.repartition("k").sortWithinPartitions("k", "lo", "hi").mapInArrow(propose, f"src {kind}, dst {kind}")
-    pairs = materialise(found.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    wanted = pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [shingle_set(t.as_py().translate(LOWER).split()).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "s"])
+            table = pa.Table.from_batches(held).combine_chunks()
+            k, p = (table.column(c).to_numpy() for c in (0, 2))
+            n, pos = p >> 32, p & 0xFFFFFFFF
+            # The last key may go on in the next batch.
+            end = rows if b is None else int(np.searchsorted(k, k[-1]))
+            start = np.flatnonzero(np.diff(k[:end], prepend=k[:1] - 1)) if end else np.zeros(0, dtype=np.int64)
+            length = np.diff(np.append(start, end))
+            two, some, many = start[length == 2], (length > 2) & (length <= ALL_PAIRS), length > ALL_PAIRS
+            i, j = [two], [two + 1]
+            for s, m in zip(start[some].tolist(), length[some].tolist(), strict=True):
+                x, y = np.triu_indices(m, 1)
+                i.append(s + x)
+                j.append(s + y)
+            i, j = np.concatenate(i), np.concatenate(j)
+            good = _reach(n[i], pos[i], n[j], pos[j], similarity, np.minimum)
+            crowd = np.concatenate([np.zeros(0, dtype=np.int64), *[np.arange(s, s + m) for s, m in zip(start[many].tolist(), length[many].tolist(), strict=True)]])
+            if len(crowd) or good.any():
+                node, none = table.column(1).to_numpy(), np.zeros(good.sum(), dtype=np.int64)
+                x, y = node[i[good]], node[j[good]]
+                dst = np.append(np.maximum(x, y), np.zeros(len(crowd), dtype=np.int64))
+                columns = [np.append(none, k[crowd]), np.append(np.minimum(x, y), node[crowd]), np.append(none, p[crowd])]
+                mask = np.arange(len(dst)) >= len(none)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(dst, mask=mask)], names=["k", "node", "p", "dst"])
+            held, rows = table.slice(end).to_batches(), rows - end
+            least = max(HELD_ROWS, 2 * rows)
+
+    found = materialise(posted.repartition("k").sortWithinPartitions("k").mapInArrow(propose, "k long, node long, p long, dst long").distinct())
+    pairs = found.where("dst <> node").select(F.col("node").alias("src"), "dst")
+    n, pos = F.shiftright("p", 32).alias("n"), F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")
+    crowds = found.where("dst is null").select("k", "node", n, pos)
+    wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(crowds.select("node")).distinct()
+    asked = reps.join(wanted, "node", "left_semi").select("doc_id", "h", "node")
+    known = materialise(texts.join(asked, ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "node"]).select("node", "_t"))
+    similar = _link_crowds(crowds, materialise(_similar(pairs, known, similarity)), known, similarity)
+    classes = connected_components(similar).select("node", F.col("component").alias("c"))
+    named = reps.join(classes, "node", "left").select(F.col("digest").alias("node"), F.coalesce("c", "node").alias("c"))
+    return docs.select("doc_id", "h", "node").join(named, "node").select("doc_id", "h", "c")
 
-    shingled = materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, s array<long>"))
-    both = pairs.join(shingled.select(F.col("doc_id").alias("src"), F.col("s").alias("a")), "src").join(
-        shingled.select(F.col("doc_id").alias("dst"), F.col("s").alias("b")), "dst"
-    )
-    shared = F.size(F.array_intersect("a", "b"))
-    similar = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("src", "dst").distinct()
-    classes = connected_components(materialise(similar))
-    named = reps.join(classes, reps["node"] == classes["node"], "left").select("digest", F.coalesce("component", reps["node"]).alias("component_id"))
-    return docs.join(named, "digest").select("doc_id", "component_id")
+
+def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): documents linked by a Jaccard similarity of their five-word shingles of ``similarity`` or more.
+
+    Documents with equal shingle sets are one node; component_id is the smallest id of the class. Rows with a null id are left out.
+    Similar sets share one of their first shingles in an order common to all (prefix filter), so every similar pair meets under a
+    shingle; pairs are verified exactly. Members of a crowded shingle are joined in rounds (``_link_crowds``).
+    """
+    rows = materialise(_near_duplicate_rows(df, id_col, text_col, similarity))
+    return rows.join(rows.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")

@@ -112,3 +112,43 @@ def test_query(spark, sf, table):
 
     got = queries()["op1_simhash"](spark, sf)
     assert got.count() == table.count() and got.where(F.length("fingerprint") != 16).count() == 0
+
+
+def star(rnd, copies, words=300, edits=5):
+    """An original and copies similar to it, hardly to one another."""
+    base = ["w%d" % rnd.randrange(10**9) for _ in range(words)]
+    texts = [" ".join(base)]
+    for c in range(copies):
+        w = list(base)
+        for k in rnd.sample(range(words), edits):
+            w[k] = "e%d" % rnd.randrange(10**9)
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_a_star_of_copies_is_one_class(spark):
+    texts = star(random.Random(3), 2000)
+    assert all(jaccard(texts[0], t) >= 0.8 for t in texts)
+    # The original is not the smallest id.
+    df = spark.createDataFrame(list(enumerate(texts[1:] + texts[:1])), "doc_id long, text string")
+    got = simhash.near_duplicate_classes(df)
+    assert got.count() == 2001 and got.where("component_id <> 0").count() == 0
+
+
+def test_crowds_without_a_centre(spark, monkeypatch):
+    # Chains inside crowds, and crowds whose members are not similar: all rounds and the pairs after them.
+    rnd = random.Random(4)
+    texts = []
+    for _ in range(3):
+        w = ["w%d" % rnd.randrange(10**9) for _ in range(60)]
+        for k in range(40):
+            texts.append(" ".join(w))
+            w[k : k + 1] = ["e%d" % rnd.randrange(10**9)]
+    same = " ".join("s%d" % k for k in range(20))
+    texts += [same + "".join(" t%d" % rnd.randrange(10**9) for _ in range(rnd.choice((2, 3, 30)))) for _ in range(60)]
+    want = classes([(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.8], range(len(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for all_pairs, rounds in ((24, 6), (3, 1)):
+        monkeypatch.setattr(simhash, "ALL_PAIRS", all_pairs)
+        monkeypatch.setattr(simhash._link_crowds, "__defaults__", (rounds,))
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_classes(df).collect()} == want
