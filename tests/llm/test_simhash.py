@@ -152,3 +152,22 @@ def test_crowds_without_a_centre(spark, monkeypatch):
         monkeypatch.setattr(simhash, "ALL_PAIRS", all_pairs)
         monkeypatch.setattr(simhash._link_crowds, "__defaults__", (rounds,))
         assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_classes(df).collect()} == want
+
+
+def test_near_duplicates_with_passages_changed(spark):
+    rnd = random.Random(5)
+    texts = []
+    for words in (12, 50, 100, 300):
+        for _ in range(10):
+            w = ["w%d" % rnd.randrange(10**9) for _ in range(words)]
+            new = ["n%d" % rnd.randrange(10**9) for _ in range(words)]
+            size, at = max(1, words // 5 - 3), rnd.randrange(words // 2)
+            # A passage added at the end, cut from the end, and put in place of another: each with its own copy of the text.
+            for pair in ((w, w + new[:size]), (w[: words - size], w), (w, w[:at] + new[: size // 2] + w[at + size // 2 :])):
+                texts += [" ".join("%s.%d" % (x, len(texts)) for x in p) for p in pair]
+    pairs = [(k, k + 1) for k in range(0, len(texts), 2)]
+    alike = [jaccard(texts[a], texts[b]) >= 0.8 for a, b in pairs]
+    assert sum(alike) >= 80
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_classes(df).collect()}
+    assert [got[a] == got[b] for a, b in pairs] == alike
