@@ -429,3 +429,17 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = materialise(_near_duplicate_rows(df, id_col, text_col, similarity))
     return rows.join(rows.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
+
+
+def keep_near_duplicates_once(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of df for every class of near duplicates, of its smallest id, and every row with a null id.
+
+    Classes go by the texts, so rows that repeat an id with another text are judged each by its own.
+    """
+    rows = _near_duplicate_rows(df, id_col, text_col, similarity).groupBy("c", "doc_id", "h").agg(F.count("*").alias("n"))
+    kept = rows.groupBy("c").agg(F.min(F.struct("doc_id", "h", "n")).alias("r")).select(F.col("r.doc_id").alias("_kept_id"), F.col("r.h").alias("_kept_h"), F.col("r.n").alias("_kept_n"))
+    kept = materialise(kept)
+    same = (F.col(id_col) == F.col("_kept_id")) & (F.xxhash64(text_bytes(text_col)) == F.col("_kept_h"))
+    once = df.join(kept.where("_kept_n = 1"), same, "left_semi")
+    repeated = df.join(kept.where("_kept_n > 1"), same).dropDuplicates(["_kept_id", "_kept_h"]).select(*df.columns)
+    return once.unionByName(repeated).unionByName(df.where(F.col(id_col).isNull()))

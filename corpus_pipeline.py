@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every group of near duplicates (five-word shingles, similarity 0.8 or more)."""
-    return simhash.keep_one_of_each(docs, simhash.near_duplicate_classes(docs)).select(*COLUMNS)
+    """Keeps the smallest doc_id of every group of near duplicates (five-word shingles, similarity 0.8 or more), and rows without a doc_id."""
+    return simhash.keep_near_duplicates_once(docs).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,3 +171,12 @@ def test_near_duplicates_with_passages_changed(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_classes(df).collect()}
     assert [got[a] == got[b] for a, b in pairs] == alike
+
+
+def test_near_duplicates_keep_rows_without_an_id_and_other_texts_of_an_id(spark):
+    one, two, three = (" ".join("%s%d" % (c, k) for k in range(40)) for c in "abc")
+    rows = [(None, one), (None, "no id"), (1, one), (1, two), (2, two), (3, three), (3, three), (3, one + " more"), (4, None), (5, "")]
+    df = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = __import__("corpus_pipeline").near_duplicates(spark, df, "").select("doc_id", "text").collect()
+    want = [(None, one), (None, "no id"), (1, one), (1, two), (3, three), (4, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
