@@ -21,6 +21,7 @@ rows; extra columns are ignored; a text of any length is cut like any other.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import deque
@@ -55,10 +56,24 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens() -> dict[str, int]:
+    """The added tokens of the vocabulary's tokenizers file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError("added tokens are matched as they are only")
+    return {t["content"]: t["id"] for t in found}
+
+
 class Encoder:
-    """Byte-level BPE ids of texts as little-endian uint32 bytes; equal to those of the tokenizers library."""
+    """Byte-level BPE ids of texts as little-endian uint32 bytes; equal to those of the tokenizers library.
+
+    ``added``: ids of the added tokens, which are matched in the text before anything else.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
@@ -66,12 +81,25 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
-        self.ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.added = added or {}
+        self.split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.ends = np.zeros(max([*ranks.values(), *self.added.values()]) + 1, dtype=bool)
         for token, i in ranks.items():
             self.ends[i] = b"\n" in token or token.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?")
 
     def __call__(self, text: str) -> np.ndarray:
-        known, out = self.known, []
+        out: list[bytes] = []
+        at = 0
+        for m in self.split.finditer(text) if self.split else ():
+            self._plain(text[at : m.start()], out)
+            out.append(self.added[m[0]].to_bytes(4, "little"))
+            at = m.end()
+        self._plain(text[at:] if at else text, out)
+        out.append(END_ID.to_bytes(4, "little"))
+        return np.frombuffer(b"".join(out), dtype="<u4")
+
+    def _plain(self, text: str, out: list[bytes]) -> None:
+        known = self.known
         for part in PARTS.findall(text):
             ids = known.get(part)
             if ids is None:
@@ -79,8 +107,6 @@ class Encoder:
                 if len(known) < WORDS_HELD and len(part) < 64:
                     known[part] = ids
             out.append(ids)
-        out.append(END_ID.to_bytes(4, "little"))
-        return np.frombuffer(b"".join(out), dtype="<u4")
 
 
 def candidates(soft: np.ndarray, ends: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,12 +192,13 @@ def pack(
 ) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with keep_ids, its ids."""
     session_for(df)
+    added = {} if path else added_tokens()
     path = path or vocabulary_path()
     rows = df.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("_t"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = Encoder(path, added)
         packer = Packer(encode.ends, size, run_tokens)
         first = TaskContext.get().partitionId() << 33
         id_type = None

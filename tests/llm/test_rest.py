@@ -33,6 +33,19 @@ def test_ids_equal_those_of_the_tokenizers_library(tokenizer):
         assert e(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_added_tokens_are_those_of_the_tokenizers_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "x <|endoftext|", "  <|endoftext|>\n\n", "none"]
+    e = packing.Encoder(packing.vocabulary_path(), packing.added_tokens())
+    for text in texts:
+        assert e(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_packing(packing.pack(df).collect(), dict(enumerate(texts)), plain)
+
+
 def check_packing(rows, texts, tokenizer, size=1024):
     pieces, windows = {}, {}
     for r in rows:
