@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudweave.llm.common import documents, materialise, session_for, text_bytes
+from cloudweave.llm.common import Tables, documents, materialise, session_for, text_bytes
 from cloudweave.operators.components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -38,22 +38,9 @@ MAX_BITS = 4
 MIN_BYTES = 8 - MAX_BITS
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+def fingerprint(text: bytes, shingle: int = 4) -> int:
     """64-bit SimHash of the word shingles, repeats included; 0 without words."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    last = ends[shingle - 1 :].tolist() or [len(joined)]
-    first = [0, *(ends[: len(last) - 1] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, dtype=np.int64)
-    for lo in range(0, len(last), 1 << 16):
-        span = zip(first[lo : lo + (1 << 16)], last[lo : lo + (1 << 16)], strict=True)
-        h = np.array([digest(joined[a:b], seed) for a, b in span], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(last), bitorder="little").view("<u8")[0])
+    return majority(_shingle_hashes(text.translate(LOWER).split(), shingle))
 
 
 def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -79,6 +66,13 @@ def key_sets(width: int) -> list[tuple[int, ...]]:
     return [tuple(sorted(s)) for s in inside + across]
 
 
+def _near(both: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which differences of two fingerprints pass: the tally of shared positional bytes first, then the bits of those left."""
+    shared = (both[:, None].view(np.uint8) == 0).sum(axis=1)
+    kept = np.flatnonzero(shared >= 8 - max_bits)
+    return kept[np.bitwise_count(both[kept]) <= max_bits]
+
+
 def _spread(values: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) that join all members of one key within max_bits, at most one for each newly reached member."""
     left = np.arange(len(values))
@@ -87,7 +81,8 @@ def _spread(values: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             i = queue.pop()
-            near = np.bitwise_count(values[left] ^ values[i]) <= max_bits
+            near = np.zeros(len(left), dtype=bool)
+            near[_near(values[left] ^ values[i], max_bits)] = True
             if near.any():
                 hit = left[near]
                 src.append(np.full(len(hit), i))
@@ -105,10 +100,7 @@ def _links(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray
     length = np.diff(np.append(start, len(keys)))
     src, dst = [], []
     two = start[length == 2]
-    both = fps[two] ^ fps[two + 1]
-    # Tally of shared positional bytes, then the bits themselves.
-    shared = (both[:, None].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) if len(two) else np.zeros(0, dtype=np.int64)
-    good = two[(shared >= 8 - max_bits) & (np.bitwise_count(both) <= max_bits)]
+    good = two[_near(fps[two] ^ fps[two + 1], max_bits)]
     src.append(fps[good])
     dst.append(fps[good + 1])
     for s, n in zip(start[length > 2], length[length > 2], strict=True):
@@ -203,26 +195,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near duplicates by similarity: shared rare shingles propose, the shingle sets decide.
+# Near duplicates by similarity: the byte index and shared rare shingles propose, the shingle sets decide.
 
 SIMILARITY = 0.8
 SHINGLE_WORDS = 5
-#: Members of one shingle of which every pair is proposed; larger crowds are linked in rounds.
+#: Members of one shingle of which every pair is proposed; larger crowds are compared in blocks.
 ALL_PAIRS = 24
-#: Rounds in which a crowd tests one member against all others; then every pair still apart is tested.
-ROUNDS = 6
+#: Members of a crowd in one block, and links first tested between a member and another component.
+CROWD_BLOCK, FIRST_TESTS = 2048, 8
 #: Documents that the order of shingles is drawn from: a share of the table, and this many at least.
 ORDER_ROWS, ORDER_SHARE = 20_000, 0.02
 #: Shingles found this often there, the most frequent first, come last in the order.
 ORDER_LEAST, ORDER_HELD = 3, 1 << 17
 #: Postings a proposing task looks at together.
 HELD_ROWS = 1 << 15
-WIDE_BITS = 24
-SLICE = 1 << 16
+#: Most bits of a set's parity sketch.
+SKETCH_BITS = 1 << 15
 
 
-def shingle_set(words: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; fewer words than a shingle make one."""
+def _shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; fewer words than a shingle make one."""
     if not words:
         return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
@@ -230,30 +222,42 @@ def shingle_set(words: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
     last = ends[size - 1 :].tolist() or [len(joined)]
     first = [0, *(ends[: len(last) - 1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(first, last, strict=True)], dtype=np.uint64))
+    return np.array([digest(joined[a:b], 42) for a, b in zip(first, last, strict=True)], dtype=np.uint64)
 
 
-def _proposals(nodes: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes of one key within WIDE_BITS: all of them among few members, a forest among many. near_duplicate_classes has no use for it."""
-    n = len(nodes)
-    if n <= ALL_PAIRS:
-        i, j = np.triu_indices(n, 1)
-        good = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= WIDE_BITS
-        return nodes[i[good]], nodes[j[good]]
-    src, dst = [], []
-    heads: list[int] = []
-    for lo in range(0, n, SLICE):
-        left = np.concatenate([np.array(heads, dtype=np.int64), np.arange(lo, min(n, lo + SLICE))])
-        while len(left):
-            i, left = left[0], left[1:]
-            if i >= lo:
-                heads.append(int(i))
-            near = np.bitwise_count(fps[left] ^ fps[i]).sum(axis=1) <= WIDE_BITS
-            hit = left[near & (left >= lo)]
-            src.append(np.full(len(hit), nodes[i]))
-            dst.append(nodes[hit])
-            left = left[~(near & (left >= lo))]
-    return np.concatenate(src), np.concatenate(dst)
+def shingle_set(words: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; fewer words than a shingle make one."""
+    return np.unique(_shingle_hashes(words, size))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashes, 0 without any."""
+    counts = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        h = np.ascontiguousarray(hashes[lo : lo + (1 << 16)], dtype="<u8")
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def parity_sketch(s: np.ndarray) -> bytes:
+    """Whether an odd number of the set's hashes falls on each of about as many bits as it has hashes.
+
+    Two sets differ in at least as many hashes as their sketches, folded to one length, differ in bits.
+    """
+    width = min(SKETCH_BITS, max(64, 1 << max(0, len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def _folded(sketch: bytes, width: int) -> bytes:
+    while len(sketch) > width:
+        half = len(sketch) // 2
+        sketch = (int.from_bytes(sketch[:half]) ^ int.from_bytes(sketch[half:])).to_bytes(half)
+    return sketch
+
+
+def _most_apart(n1, n2, similarity: float):
+    """Elements that similar sets of n1 and n2 differ in at most."""
+    return (n1 + n2) * (1 - similarity) / (1 + similarity) + 1e-6
 
 
 def _rare_first(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -269,9 +273,9 @@ def _prefix(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def _reach(n1, pos1, n2, pos2, similarity: float, least):
+def _reach(n1, pos1, n2, pos2, similarity: float):
     """Can sets of n1 and n2 shingles be similar if their first shared ones are at these places?"""
-    return least(n1 - pos1, n2 - pos2) >= similarity / (1 + similarity) * (n1 + n2) - 1e-6
+    return np.minimum(n1 - pos1, n2 - pos2) >= similarity / (1 + similarity) * (n1 + n2) - 1e-6
 
 
 def _shingle_order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -291,11 +295,34 @@ def _shingle_order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return k[by_hash], n[by_hash]
 
 
+def _ordered(src: str, dst: str) -> list:
+    return [F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst")]
+
+
+def _both(pairs: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (src, dst) with columns of known (node, ...) as a_... and b_..."""
+    for end, name in (("src", "a"), ("dst", "b")):
+        pairs = pairs.join(known.select(F.col("node").alias(end), *[F.col(c).alias(f"{name}_{c}") for c in columns]), end)
+    return pairs.select("src", "dst", *[f"{name}_{c}" for name in "ab" for c in columns])
+
+
+def _possible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches don't rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for n1, x, n2, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                width = min(len(x), len(y))
+                apart = (int.from_bytes(_folded(x, width)) ^ int.from_bytes(_folded(y, width))).bit_count()
+                good.append(apart <= _most_apart(n1, n2, similarity))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return _both(pairs, reps, "n", "bits").mapInArrow(run, "src long, dst long")
+
+
 def _similar(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """The pairs (src, dst) whose texts (node, _t) have similar shingle sets. Texts take less room in the joins than their sets."""
-    both = pairs.join(known.select(F.col("node").alias("src"), F.col("_t").alias("a")), "src").join(
-        known.select(F.col("node").alias("dst"), F.col("_t").alias("b")), "dst"
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,45 +333,83 @@ def _similar(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame
                 good.append(shared >= similarity * (len(u) + len(v) - shared))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+    return _both(pairs, known, "_t").mapInArrow(run, "src long, dst long")
 
 
-def _ordered(src, dst) -> list:
-    return [F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst")]
+def _crowd_links(tests: int, similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """Makes a function of one block's members (node, n, pos, c, slice, bits): possible pairs of different components (src, dst, more).
 
+    A member is paired with ``tests`` members of each other component at most; more says that there were others.
+    """
 
-def _link_crowds(crowds: DataFrame, similar: DataFrame, known: DataFrame, similarity: float, rounds: int = ROUNDS) -> DataFrame:
+    def pair(rows: pa.Table) -> pa.Table:
+        node, n, pos, c, part = (rows.column(x).to_numpy() for x in ("node", "n", "pos", "c", "slice"))
+        n = n.astype(np.int64)
+        bits = rows.column("bits").to_pylist()
+        width = np.array([len(b) for b in bits])
+        one_slice = len(np.unique(part)) == 1
+        src, dst, more = [], [], []
+        for w in np.unique(width).tolist():
+            # Every pair is compared at the shorter of its two widths.
+            at = np.flatnonzero(width >= w)
+            folded = np.frombuffer(b"".join(_folded(bits[i], w) for i in at), dtype=np.uint64).reshape(len(at), -1)
+            for here in np.flatnonzero(width[at] == w).tolist():
+                i = at[here]
+                maybe = (c[at] != c[i]) & _reach(n[i], pos[i], n[at], pos[at], similarity) & ((width[at] > w) | (at > i))
+                if not one_slice:
+                    maybe &= part[at] != part[i]
+                left = np.flatnonzero(maybe)
+                apart = np.bitwise_count(folded[left] ^ folded[here]).sum(axis=1)
+                j = at[left[apart <= _most_apart(n[i], n[at[left]], similarity)]]
+                if len(j):
+                    j = j[np.argsort(c[j], kind="stable")]
+                    start = np.flatnonzero(np.diff(c[j], prepend=c[j[:1]] - 1))
+                    length = np.diff(np.append(start, len(j)))
+                    keep = np.arange(len(j)) - np.repeat(start, length) < tests
+                    src.append(np.full(keep.sum(), node[i]))
+                    dst.append(node[j[keep]])
+                    more.append(np.repeat(length > tests, length)[keep])
+        empty = [np.zeros(0, dtype=np.int64)]
+        return pa.table([np.concatenate(src or empty), np.concatenate(dst or empty), pa.array(np.concatenate(more or empty).astype(bool))], names=["src", "dst", "more"])
+
+    return pair
+
+
+def _link_crowds(crowds: DataFrame, similar: DataFrame, reps: DataFrame, known: DataFrame, similarity: float, block: int = CROWD_BLOCK, tests: int = FIRST_TESTS) -> DataFrame:
     """similar, with links enough to join all similar members of each crowd (k, node, n, pos).
 
-    A round tests the member with most links so far against all those of its crowd in other components, and then leaves it out;
-    crowds within one component are done. After ``rounds`` rounds every pair that is still apart is tested, so nothing is missed.
+    Crowds that the links so far hold together are done. In the others the sketches of members of different components are
+    compared block by block, and the pairs they leave are tested: ``tests`` of a member with each other component, eight times as
+    many in each further turn, until none is left out. So nothing is missed, and a crowd of near copies never gives all its pairs.
     """
-    for turn in range(rounds + 1):
-        if crowds.isEmpty():
-            break
+    while not crowds.isEmpty():
         component = connected_components(similar).select("node", F.col("component").alias("c"))
-        degree = similar.select(F.col("src").alias("node")).union(similar.select("dst")).groupBy("node").agg(F.count("*").alias("links"))
-        placed = crowds.join(component, "node", "left").join(degree, "node", "left").select(
-            "k", "node", "n", "pos", F.coalesce("c", "node").alias("c"), F.coalesce("links", F.lit(0)).alias("links")
-        )
-        placed = materialise(placed)
-        lead = F.max(F.struct("links", F.xxhash64("node").alias("r"), "node", "n", "pos", "c")).alias("lead")
-        split = placed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), lead).where("lo <> hi").select("k", "lead")
-        left = placed.join(split, "k")
-        if turn < rounds:
-            some = left.where((F.col("c") != F.col("lead.c")) & _reach(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), similarity, F.least))
-            pairs = some.select(*_ordered(F.col("node"), F.col("lead.node"))).distinct()
-        else:
-            x, y = left.drop("lead").alias("x"), left.drop("lead").alias("y")
-            apart = (F.col("x.k") == F.col("y.k")) & (F.col("x.c") < F.col("y.c"))
-            near = _reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), similarity, F.least)
-            pairs = x.join(y, apart & near).select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
-        similar = materialise(similar.union(_similar(pairs, known, similarity)).distinct())
-        crowds = materialise(left.where(F.col("node") != F.col("lead.node")).select("k", "node", "n", "pos"))
+        placed = materialise(crowds.join(component, "node", "left").select("k", "node", "n", "pos", F.coalesce("c", "node").alias("c")))
+        sizes = placed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+        apart = placed.join(sizes.select("k", F.ceil(F.col("m") / block).cast("int").alias("parts")), "k")
+        apart = apart.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        apart = apart.join(reps.select("node", "bits"), "node").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+        apart = apart.withColumns({"a": F.least("slice", "other"), "b": F.greatest("slice", "other")})
+
+        found = apart.select("k", "a", "b", "node", "n", "pos", "c", "slice", "bits").groupBy("k", "a", "b").applyInArrow(_crowd_links(tests, similarity), "src long, dst long, more boolean")
+        found = materialise(found.select(*_ordered("src", "dst"), "more").groupBy("src", "dst").agg(F.max("more").alias("more")))
+        similar = materialise(similar.union(_similar(found.select("src", "dst"), known, similarity)).distinct())
+        if found.where("more").isEmpty():
+            break
+        crowds, tests = placed.select("k", "node", "n", "pos").join(sizes.select("k"), "k", "left_semi"), tests * 8
     return similar
 
 
-def _near_duplicate_rows(df: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+def _byte_index_pairs(reps: DataFrame) -> DataFrame:
+    """(src, dst): what the byte-position index proposes: nodes of one fingerprint in a star, fingerprints within MAX_BITS in a forest."""
+    by_print = materialise(reps.groupBy("fp").agg(F.min("node").alias("first")))
+    alike = reps.join(by_print, "fp").where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst"))
+    near = links(by_print.select("fp"), MIN_BYTES - 1)
+    near = near.join(by_print.select(F.col("fp").alias("x"), F.col("first").alias("src")), "x").join(by_print.select(F.col("fp").alias("y"), F.col("first").alias("dst")), "y")
+    return alike.union(near.select("src", "dst")).select(*_ordered("src", "dst"))
+
+
+def _near_duplicate_rows(df: DataFrame, tables: Tables, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """(doc_id, h, c) of the rows that have an id: h hashes the text, c is a value of the class."""
     session_for(df)
     texts = df.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("_t")).where("doc_id is not null").withColumn("h", F.xxhash64("_t"))
@@ -353,21 +418,27 @@ def _near_duplicate_rows(df: DataFrame, id_col: str, text_col: str, similarity:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, first, n = [], [], []
+            node, first, n, fp, bits = [], [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py().translate(LOWER).split())
                 node.append(xxhash.xxh3_128_digest(s.tobytes()))
                 first.append(_rare_first(s, *order.value)[: _prefix(len(s), similarity)].view(np.int64))
                 n.append(len(s))
+                fp.append(majority(s))
+                bits.append(parity_sketch(s))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(node, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(n, pa.int32())], names=["doc_id", "h", "node", "first", "n"]
-            )
-
-    docs = materialise(texts.mapInArrow(sketch, f"doc_id {kind}, h long, node binary, first array<long>, n int"))
-    # Nodes get numbers, which stay as they are once materialised.
-    reps = docs.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("r")).select(F.col("node").alias("digest"), "r.*")
-    reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()))
-    own = docs.withColumnRenamed("node", "digest").join(reps, ["digest", "doc_id", "h"])
+                [
+                    b.column(0), b.column(2), pa.array(node, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(n, pa.int32()),
+                    pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(bits, pa.binary()),
+                ],
+                names=["doc_id", "h", "node", "first", "n", "fp", "bits"],
+            )
+
+    docs = tables.write("docs", texts.mapInArrow(sketch, f"doc_id {kind}, h long, node binary, first array<long>, n int, fp long, bits binary"))
+    # Nodes get numbers, which stay as they are once written.
+    reps = docs.groupBy("node").agg(F.min(F.struct("doc_id", "h", "n", "fp", "bits")).alias("r")).select(F.col("node").alias("digest"), "r.*")
+    reps = tables.write("reps", reps.withColumn("node", F.monotonically_increasing_id()))
+    own = docs.select(F.col("node").alias("digest"), "doc_id", "h", "first", "n").join(reps.select("digest", "doc_id", "h", "node"), ["digest", "doc_id", "h"])
     place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
     posted = own.select("node", "n", F.posexplode("first").alias("pos", "k")).select("k", "node", place.alias("p"))
 
@@ -395,7 +466,7 @@ def _near_duplicate_rows(df: DataFrame, id_col: str, text_col: str, similarity:
                 i.append(s + x)
                 j.append(s + y)
             i, j = np.concatenate(i), np.concatenate(j)
-            good = _reach(n[i], pos[i], n[j], pos[j], similarity, np.minimum)
+            good = _reach(n[i], pos[i], n[j], pos[j], similarity)
             crowd = np.concatenate([np.zeros(0, dtype=np.int64), *[np.arange(s, s + m) for s, m in zip(start[many].tolist(), length[many].tolist(), strict=True)]])
             if len(crowd) or good.any():
                 node, none = table.column(1).to_numpy(), np.zeros(good.sum(), dtype=np.int64)
@@ -408,13 +479,14 @@ def _near_duplicate_rows(df: DataFrame, id_col: str, text_col: str, similarity:
             least = max(HELD_ROWS, 2 * rows)
 
     found = materialise(posted.repartition("k").sortWithinPartitions("k").mapInArrow(propose, "k long, node long, p long, dst long").distinct())
-    pairs = found.where("dst <> node").select(F.col("node").alias("src"), "dst")
+    pairs = found.where("dst <> node").select(F.col("node").alias("src"), "dst").union(_byte_index_pairs(reps)).distinct()
+    pairs = materialise(_possible(pairs, reps, similarity))
     n, pos = F.shiftright("p", 32).alias("n"), F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")
     crowds = found.where("dst is null").select("k", "node", n, pos)
     wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(crowds.select("node")).distinct()
     asked = reps.join(wanted, "node", "left_semi").select("doc_id", "h", "node")
-    known = materialise(texts.join(asked, ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "node"]).select("node", "_t"))
-    similar = _link_crowds(crowds, materialise(_similar(pairs, known, similarity)), known, similarity)
+    known = tables.write("known", texts.join(asked, ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "node"]).select("node", "_t"))
+    similar = _link_crowds(crowds, materialise(_similar(pairs, known, similarity)), reps, known, similarity)
     classes = connected_components(similar).select("node", F.col("component").alias("c"))
     named = reps.join(classes, "node", "left").select(F.col("digest").alias("node"), F.coalesce("c", "node").alias("c"))
     return docs.select("doc_id", "h", "node").join(named, "node").select("doc_id", "h", "c")
@@ -424,10 +496,12 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     """(doc_id, component_id): documents linked by a Jaccard similarity of their five-word shingles of ``similarity`` or more.
 
     Documents with equal shingle sets are one node; component_id is the smallest id of the class. Rows with a null id are left out.
-    Similar sets share one of their first shingles in an order common to all (prefix filter), so every similar pair meets under a
-    shingle; pairs are verified exactly. Members of a crowded shingle are joined in rounds (``_link_crowds``).
+    The byte-position index proposes pairs by their fingerprints. It may miss some, so a prefix filter adds to it: similar sets share
+    one of their first shingles in an order common to all, and every similar pair meets under a shingle. Parity sketches rule out most
+    pairs, and the others are verified exactly. Members of a crowded shingle are joined block by block (``_link_crowds``).
     """
-    rows = materialise(_near_duplicate_rows(df, id_col, text_col, similarity))
+    with Tables(df.sparkSession, "near-duplicates") as tables:
+        rows = materialise(_near_duplicate_rows(df, tables, id_col, text_col, similarity))
     return rows.join(rows.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
 
 
@@ -436,9 +510,10 @@ def keep_near_duplicates_once(df: DataFrame, id_col: str = "doc_id", text_col: s
 
     Classes go by the texts, so rows that repeat an id with another text are judged each by its own.
     """
-    rows = _near_duplicate_rows(df, id_col, text_col, similarity).groupBy("c", "doc_id", "h").agg(F.count("*").alias("n"))
-    kept = rows.groupBy("c").agg(F.min(F.struct("doc_id", "h", "n")).alias("r")).select(F.col("r.doc_id").alias("_kept_id"), F.col("r.h").alias("_kept_h"), F.col("r.n").alias("_kept_n"))
-    kept = materialise(kept)
+    with Tables(df.sparkSession, "near-duplicates") as tables:
+        rows = _near_duplicate_rows(df, tables, id_col, text_col, similarity).groupBy("c", "doc_id", "h").agg(F.count("*").alias("n"))
+        kept = rows.groupBy("c").agg(F.min(F.struct("doc_id", "h", "n")).alias("r")).select(F.col("r.doc_id").alias("_kept_id"), F.col("r.h").alias("_kept_h"), F.col("r.n").alias("_kept_n"))
+        kept = materialise(kept)
     same = (F.col(id_col) == F.col("_kept_id")) & (F.xxhash64(text_bytes(text_col)) == F.col("_kept_h"))
     once = df.join(kept.where("_kept_n = 1"), same, "left_semi")
     repeated = df.join(kept.where("_kept_n > 1"), same).dropDuplicates(["_kept_id", "_kept_h"]).select(*df.columns)

@@ -96,15 +96,30 @@ def test_near_duplicates_by_similarity(spark):
 def test_near_duplicates_of_awkward_rows(docs):
     got = simhash.near_duplicate_classes(docs)
     of = {r["doc_id"]: r["component_id"] for r in got.collect()}
-    # Text 9 is 0.9 similar to text 0, but with ten distinct words a proposal is likely, not certain.
-    assert of[0] == of[5] == 0 and of[9] in (0, 9) and of[2] == of[3] == 2 and None not in of
+    # Text 9 is 0.9 similar to text 0.
+    assert of[0] == of[5] == of[9] == 0 and of[2] == of[3] == 2 and None not in of
     assert simhash.near_duplicate_classes(docs.limit(0)).count() == 0
 
 
-def test_crowds_are_linked_by_forests():
-    fps = np.arange(2000, dtype=np.uint64)[:, None] & np.uint64(7)
-    src, dst = simhash._proposals(np.arange(2000).astype(object), np.concatenate([fps, fps], axis=1))
-    assert len(src) == 1999 and len(set(dst.tolist())) == 1999
+def test_sketches_never_rule_out_similar_sets():
+    rnd = np.random.default_rng(6)
+    for n in (1, 5, 63, 64, 65, 300, 5000, 40_000):
+        a = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+        for lost in {0, n // 20, n // 9, n // 5}:
+            b = np.unique(np.append(a[lost:], rnd.integers(0, 1 << 63, lost // 3).astype(np.uint64)))
+            x, y = simhash.parity_sketch(a), simhash.parity_sketch(b)
+            width = min(len(x), len(y))
+            apart = (int.from_bytes(simhash._folded(x, width)) ^ int.from_bytes(simhash._folded(y, width))).bit_count()
+            shared = len(np.intersect1d(a, b))
+            assert apart <= len(a) + len(b) - 2 * shared
+            if shared >= 0.8 * (len(a) + len(b) - shared):
+                assert apart <= simhash._most_apart(len(a), len(b), 0.8)
+
+
+def test_tally_keeps_exactly_the_near_fingerprints():
+    rnd = random.Random(8)
+    diff = np.array([sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 9))) for _ in range(3000)], dtype=np.uint64)
+    assert simhash._near(diff, 4).tolist() == np.flatnonzero(np.bitwise_count(diff) <= 4).tolist()
 
 
 def test_query(spark, sf, table):
@@ -136,7 +151,7 @@ def test_a_star_of_copies_is_one_class(spark):
 
 
 def test_crowds_without_a_centre(spark, monkeypatch):
-    # Chains inside crowds, and crowds whose members are not similar: all rounds and the pairs after them.
+    # Chains inside crowds, and crowds whose members are not similar: whole crowds, and small blocks with few tests a turn.
     rnd = random.Random(4)
     texts = []
     for _ in range(3):
@@ -148,9 +163,9 @@ def test_crowds_without_a_centre(spark, monkeypatch):
     texts += [same + "".join(" t%d" % rnd.randrange(10**9) for _ in range(rnd.choice((2, 3, 30)))) for _ in range(60)]
     want = classes([(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.8], range(len(texts)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for all_pairs, rounds in ((24, 6), (3, 1)):
+    for all_pairs, block, tests in ((24, 2048, 8), (3, 7, 1)):
         monkeypatch.setattr(simhash, "ALL_PAIRS", all_pairs)
-        monkeypatch.setattr(simhash._link_crowds, "__defaults__", (rounds,))
+        monkeypatch.setattr(simhash._link_crowds, "__defaults__", (block, tests))
         assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_classes(df).collect()} == want
 
 
