@@ -63,7 +63,7 @@ def test_classlm_counts_and_probabilities(spark, table, head):
     c = collections.Counter(w for d in train for w in words[d])
     n, v = sum(c.values()) + len(train), len(c) + 1
     low = math.log10(n + 0.5 * (v + 1))
-    got = classlm.score_documents(table, head=head, clustered=20, classes=5).collect()
+    got = classlm.score_documents(table, head=head, core=20, classes=5).collect()
     assert len(got) == len(rows)
     better = 0
     for r in got:
@@ -75,23 +75,66 @@ def test_classlm_counts_and_probabilities(spark, table, head):
     assert better >= 0.8 * sum(r["held_out"] for r in got)
 
 
-def test_classlm_is_a_distribution(spark, table):
-    rows = table.select(classlm.text_bytes().alias("_t"))
-    model, counts, _ = classlm.learn(rows, head=60, clustered=20, classes=4)
-    assert np.allclose((10**model.move).sum(axis=1), 1)
-    # Every class spends its mass on its words, and a last-byte class on one unseen word too.
-    mass = collections.Counter()
-    for k, p in zip(model.of.tolist(), 10**model.emit, strict=True):
-        mass[k] += p
-    held = set(model.words)
-    tails = collections.Counter()
-    for r in counts.collect():
-        if bytes(r["w"]) not in held:
-            tails[r["tail"]] += (r["c"] + 0.5) / 10 ** model.tail_log[r["tail"]]
-    for k in range(model.first_tail, model.end):
-        t = k - model.first_tail
-        assert abs(mass[k] + tails[t] + 0.5 / 10 ** model.tail_log[t] - 1) < 1e-9
-    assert all(abs(mass[k] - 1) < 1e-9 for k in range(model.first_tail) if mass[k])
+def learned(table, tables, **options):
+    """The model, the class and count of every training word, and the training texts' words."""
+    rows = table.select("doc_id", (classlm.fold("doc_id", 5) == 1).alias("held_out"), classlm.text_bytes().alias("_t"))
+    train = [classlm._words(bytes(r["_t"])) for r in rows.where("not held_out").collect()]
+    model, beyond, tokens, encoded, n = classlm.learn(rows.where("not held_out").select("_t"), rows, tables, **options)
+    head = sorted(collections.Counter(w for t in train for w in t).items(), key=lambda x: (-x[1], x[0]))[: len(model.of)]
+    known = {w: (int(k), c) for (w, c), k in zip(head, model.of, strict=True)} | {bytes(r["w"]): (r["of"], r["c"]) for r in beyond.collect()}
+    return model, known, train, classlm.score(encoded, model, tokens, n)
+
+
+@pytest.mark.parametrize("head", [60, 1 << 17])
+def test_classlm_scores_by_hand(spark, table, head):
+    with classlm.Tables(spark, "test") as tables:
+        model, known, train, scored = learned(table, tables, head=head, core=20, classes=4)
+        counts = collections.Counter(w for t in train for w in t)
+        assert {w: c for w, (_, c) in known.items()} == counts
+        # All words that occur twice have a class of their own kind; the class of unseen words holds the others.
+        assert all((k == model.rare) == (c < classlm.LEAST) for k, c in known.values())
+        size = collections.Counter()
+        for k, c in known.values():
+            size[k] += c
+        ones = sum(k == model.rare for k, _ in known.values())
+        texts = {r["doc_id"]: classlm._words((r["text"] or "").encode()) for r in table.collect()}
+        for r in scored.collect():
+            before, want = model.end, 0.0
+            for w in texts[r["doc_id"]]:
+                k, c = known.get(w, (model.rare, 0))
+                want += model.move[before, k] + (math.log10((c + 0.5) / (size[k] + 0.5 * (ones + 1))) if k == model.rare else math.log10(c / size[k]))
+                before = k
+            assert abs(want + model.move[before, model.end] - r["score"]) < 1e-6
+        # Transitions come from all bigrams of the training texts.
+        pairs = collections.Counter()
+        for t in train:
+            k = [model.end, *(known[w][0] for w in t), model.end]
+            pairs.update(zip(k, k[1:]))
+        table_of = np.array([[pairs[a, b] for b in range(model.end + 1)] for a in range(model.end + 1)])
+        assert np.allclose(classlm.transitions(table_of), model.move)
+        assert np.allclose((10**model.move).sum(axis=1), 1)
+
+
+def test_classlm_beats_classes_by_last_byte(spark, table):
+    """Held-out score of the learned classes against classes given by a word's last byte, all else alike."""
+    docs = [(r["doc_id"], classlm._words((r["text"] or "").encode())) for r in table.collect()]
+    train = [w for d, w in docs if fold(d, 5) != 1]
+    held = {d: w for d, w in docs if fold(d, 5) == 1}
+    counts = collections.Counter(w for t in train for w in t)
+    of = {w: w[-1] % 64 for w in counts}
+    pairs, size = np.zeros((66, 66)), collections.Counter()
+    for t in train:
+        k = [65, *(of[w] if counts[w] >= classlm.LEAST else 64 for w in t), 65]
+        np.add.at(pairs, (k[:-1], k[1:]), 1)
+    for w, c in counts.items():
+        size[of[w] if c >= classlm.LEAST else 64] += c
+    move, ones, plain = classlm.transitions(pairs), sum(c < classlm.LEAST for c in counts.values()), 0.0
+    for w in held.values():
+        k = [65, *(of[x] if counts[x] >= classlm.LEAST else 64 for x in w), 65]
+        plain += move[k[:-1], k[1:]].sum()
+        plain += sum(math.log10(counts[x] / size[of[x]]) if counts[x] >= classlm.LEAST else math.log10((counts[x] + 0.5) / (size[64] + 0.5 * (ones + 1))) for x in w)
+    got = classlm.score_documents(table).where("held_out").agg({"score": "sum"}).first()[0]
+    assert got > plain
 
 
 def test_exchange_groups_words_of_like_context():
