@@ -4,6 +4,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,29 @@ def test_search_recall(spark, sf):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_search_of_many_vectors(spark, monkeypatch):
+    """Lists wider than what is reranked, copies among the vectors, blocks that are split and copied; what is shuffled follows the rows."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(300, 16))
+    x = (centres[rng.integers(0, 300, 24_000)] + rng.normal(size=(24_000, 16)) * 0.5).round(4)
+    x[20_000:] = x[7]
+    ids = np.arange(len(x))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()}))
+    monkeypatch.setattr(ann, "MAX_LISTS", 40)
+    seen = []
+    monkeypatch.setattr(ann, "materialise", lambda f: seen.append(f) or f.checkpoint())
+    queries_at = [q for q in range(0, 24_000, 200)]
+    for options in ({}, {"block_rows": 900, "block_queries": 50}):
+        got = {}
+        for r in ann.nearest(df, df.where("vec_id % 200 = 0"), train_rows=4000, **options).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        hits = sum(len(set(brute(x, ids, q, 20)) & {v for _, v in got[q]}) for q in queries_at)
+        assert all(sorted(p for p, _ in got[q]) == list(range(1, 21)) for q in queries_at)
+        assert hits >= 0.9 * 20 * len(queries_at)
+        listed, visits = seen[-2:]
+        assert listed.count() == len(x) and visits.count() <= len(queries_at) * 40 * (1 + len(x) // options.get("block_rows", ann.BLOCK_ROWS))
+
+
 def test_search_of_awkward_vectors(spark):
     rng = np.random.default_rng(0)
     good = [(k, rng.normal(size=6).round(3).tolist()) for k in range(40)]
