@@ -2,13 +2,17 @@
 
 Four patterns find the base spans, which always stay. The field then labels the tokens that hold a digit
 or an ``@``. Tokens without either can only be outside, so they are conditioned on and drop out of the graph.
-Neighbouring tokens share chain potentials; tokens of one document that repeat each other (the same digits, or the
-same address whatever its case), however far apart, share skip potentials with the occurrence before and after.
-Loopy sum-product messages run over all documents of a batch at once. Runs of tokens with one label and high
-marginals become added spans where no base span lies.
-
-The weights are fitted by pseudo-likelihood to the base spans of a sample of documented size
-(``train_rows`` rows, picked by a hash of the id).
+Neighbouring tokens share chain potentials; tokens of one document that repeat or resemble each other, however far apart, share
+skip potentials with the occurrence before and after: the same digits or the last seven of them, the same address whatever its
+case or its local part, the same key or its first twelve characters. Tokens in base spans keep their labels; loopy sum-product
+messages carry these to the others, over all documents of a batch at once. Runs of tokens with one label and high marginals
+become added spans where no base span lies. So an address, number or key that is written again without what gave it away at
+first gets the label of its other occurrences. Besides the patterns' four kinds there is ``secret``, for keys and passwords.
+
+The weights are fitted by pseudo-likelihood to a sample of documented size (``train_rows`` rows, picked by a hash of the id),
+labelled by the patterns, by assignments to a word such as token or password, and by repeats of what these find. The features of every fourth token are
+withheld in training, so that labels must come from neighbours and other occurrences too. Skip weights start from, and decay
+towards, equal labels (``AGREE``), as few training texts repeat a token.
 
 Defined cases: null and empty texts have no spans; repeated rows each give a row; ties between labels go to the
 outside label; texts of any length are scanned whole in linear time; an empty table gives no rows; extra
@@ -28,10 +32,18 @@ from pyspark.sql import functions as F
 
 from cloudweave.llm.common import documents, session_for
 
-KINDS = ("email", "ip", "card", "phone")
+#: The patterns' kinds, in the order of spans, then the kind that only the field finds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 OUTSIDE, LABELS = 0, 1 + len(KINDS)
 TRAIN_ROWS = 20_000
-MARGINAL = 0.95
+MARGINAL = 0.8
+#: Prior weight of equal labels on a skip edge.
+AGREE = 8.0
+#: One token in so many has its features withheld in training.
+WITHHELD = 4
+#: Weight of the label that a base span gives its tokens.
+SURE = 30.0
 SWEEPS, DAMPING = 10, 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,6 +55,14 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_NAMED = r"(?i:token|secret|passw(?:or)?d|pwd|(?:api|access|auth|private)[ _-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+_SECRET = re.compile(rf"\b{_NAMED}(?=[A-Za-z+/_.-]*[0-9])(?=[0-9+/_.-]*[A-Za-z])([A-Za-z0-9+/_.-]{{16,}})")
+_CUE = re.compile(rf"\b{_NAMED}$")
+_KEY = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9+/_-]{16,}")
+#: Characters before a token in which a cue is looked for.
+BEFORE = 32
+
+_TRIM = ".,;:!?\"'[]{}<>#$%&*|"
 
 Span = tuple[int, int, int]
 
@@ -83,6 +103,11 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def secret_spans(text: str) -> list[Span]:
+    """Keys and passwords that are assigned to a word naming them: labels for training."""
+    return [(len(BASE_KINDS), *m.span(1)) for m in _SECRET.finditer(text)]
+
+
 def tokens(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text)]
 
@@ -92,27 +117,39 @@ def _bins(x: int, edges: tuple[int, ...]) -> list[float]:
     return [float(i == k) for i in range(len(edges) + 1)]
 
 
-def token_features(token: str) -> list[float]:
-    """Shape of a token: counts of digits, marks and letters, in bins."""
+def token_features(token: str, before: str = "") -> list[float]:
+    """Shape of a token: counts of digits, marks and letters, in bins; and whether what stands before it names a secret."""
     digits = sum(c.isdigit() for c in token)
     letters = sum(c.isalpha() for c in token)
     at = token.find("@")
+    number = _NOT_DIGIT.sub("", token)
+    check = _luhn(number) if 13 <= len(number) <= 19 else None
     return [
         1.0, *_bins(digits, (1, 2, 4, 7, 8, 9, 11, 13, 15, 17, 20)), *_bins(token.count("."), (1, 2, 3, 4)), *_bins(token.count("-"), (1, 2)),
         *_bins(token.count("@"), (1, 2)), float(at > 0 and "." in token[at:]), float(at == 0), float(token[0] == "+"), float("(" in token),
         *_bins(letters, (1, 4, 9)), float(letters > 0 and digits > 0), float(token[0] in "\"'"), float("/" in token or ":" in token or "=" in token),
+        float(check is True), float(check is False), float(_KEY.search(token) is not None), float(_CUE.search(before + token[: len(token) - len(token.lstrip("\"'"))]) is not None), float(_SECRET.search(token) is not None),
     ]
 
 
 N_FEATURES = len(token_features("1"))
 
 
-def signature(token: str) -> str | None:
-    """What repeated or similar tokens have in common: an address in lower case, or at least four digits."""
+def signatures(token: str) -> list[str]:
+    """What repeated or similar tokens have in common."""
     if "@" in token:
-        return token.strip(".,;:!?()[]<>\"'").lower()
+        address = token.strip(_TRIM + "()").lower()
+        local = address.partition("@")[0]
+        return ["a" + address] + ["l" + local] * (len(local) >= 6)
+    out = []
+    if key := _KEY.search(token):
+        out += ["k" + key[0].lower(), "p" + key[0][:12].lower()]
     digits = _NOT_DIGIT.sub("", token)
-    return digits if len(digits) >= 4 else None
+    if len(digits) >= 4:
+        out.append("d" + digits)
+    if len(digits) >= 7 and not key:
+        out.append("s" + digits[-7:])
+    return out
 
 
 class Graph:
@@ -129,24 +166,32 @@ class Graph:
     def add(self, doc: int, text: str, spans: list[Span]) -> None:
         seen: dict[str, int] = {}
         before = None
+        linked: set[tuple[int, int]] = set()
         label_at = sorted((s, e, k + 1) for k, s, e in spans)
         p = 0
         for start, end in tokens(text):
             n, token = len(self.doc), text[start:end]
             self.doc.append(doc)
             self.span.append((start, end))
-            self.features.append(token_features(token))
+            self.features.append(token_features(token, text[max(0, start - BEFORE) : start]))
             while p < len(label_at) and label_at[p][1] <= start:
                 p += 1
             self.gold.append(label_at[p][2] if p < len(label_at) and label_at[p][0] < end else OUTSIDE)
             chained = before if before is not None and start - self.span[before][1] <= 3 else None
             if chained is not None:
                 self.chain.append((chained, n))
-            if (key := signature(token)) is not None:
+            for key in signatures(token):
                 if key in seen and seen[key] != chained:
-                    self.skip.append((seen[key], n))
+                    linked.add((seen[key], n))
                 seen[key] = n
             before = n
+        self.skip.extend(sorted(linked))
+
+    def spread_labels(self) -> None:
+        """For training: a token outside all spans gets the label of one that it repeats or resembles."""
+        for a, b in sorted(self.skip) + sorted(self.skip, reverse=True):
+            if OUTSIDE in (self.gold[a], self.gold[b]):
+                self.gold[a] = self.gold[b] = max(self.gold[a], self.gold[b])
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         """(ends, is skip) of all edges."""
@@ -165,7 +210,8 @@ class Weights:
     def __init__(self) -> None:
         self.unary = np.zeros((N_FEATURES, LABELS))
         self.chain = np.zeros((LABELS, LABELS))
-        self.skip = np.zeros((LABELS, LABELS))
+        self.agree = np.eye(LABELS) * AGREE
+        self.skip = self.agree.copy()
 
     def fit(self, features: np.ndarray, gold: np.ndarray, ends: np.ndarray, is_skip: np.ndarray, steps: int = 400, decay: float = 1e-3) -> Weights:
         """Maximum pseudo-likelihood by gradient ascent with momentum."""
@@ -173,6 +219,8 @@ class Weights:
             self.unary[0, OUTSIDE] = 5.0
             return self
         n, one = len(gold), np.eye(LABELS)[gold]
+        features = features.copy()
+        features[np.arange(n) * 2654435761 % (1 << 32) % WITHHELD == 0, 1:] = 0
         c, s = ends[~is_skip], ends[is_skip]
         speed = [np.zeros_like(w) for w in (self.unary, self.chain, self.skip)]
         for _ in range(steps):
@@ -185,15 +233,17 @@ class Weights:
             chain = one[c[:, 0]].T @ miss[c[:, 1]] + (one[c[:, 1]].T @ miss[c[:, 0]]).T
             skip = one[s[:, 0]].T @ miss[s[:, 1]] + one[s[:, 1]].T @ miss[s[:, 0]]
             slopes = (features.T @ miss, chain, (skip + skip.T) / 2)
-            for w, v, g in zip((self.unary, self.chain, self.skip), speed, slopes, strict=True):
+            for w, v, g, prior, pull in zip((self.unary, self.chain, self.skip), speed, slopes, (0, 0, self.agree), (decay, decay, 50 * decay), strict=True):
                 v *= 0.9
-                v += g / n - decay * w
+                v += g / n - pull * (w - prior)
                 w += v
         return self
 
-    def marginals(self, features: np.ndarray, ends: np.ndarray, is_skip: np.ndarray) -> np.ndarray:
-        """Loopy sum-product beliefs of every token."""
+    def marginals(self, features: np.ndarray, ends: np.ndarray, is_skip: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
+        """Loopy sum-product beliefs of every token; ``given`` labels other than OUTSIDE are kept."""
         unary = features @ self.unary
+        if given is not None:
+            unary[np.flatnonzero(given != OUTSIDE), given[given != OUTSIDE]] += SURE
         n, e = len(unary), len(ends)
         if not e:
             return _softmax(unary)
@@ -215,9 +265,6 @@ class Weights:
         return _softmax(belief)
 
 
-_TRIM = ".,;:!?\"'[]{}<>#$%*|"
-
-
 def added_spans(texts: list[str], spans: list[list[Span]], weights: Weights) -> list[list[Span]]:
     """Spans of the field's labels outside the base spans of each text."""
     out: list[list[Span]] = [[] for _ in texts]
@@ -227,7 +274,7 @@ def added_spans(texts: list[str], spans: list[list[Span]], weights: Weights) ->
     if not graph.doc:
         return out
     ends, is_skip = graph.edges()
-    share = weights.marginals(np.array(graph.features), ends, is_skip)
+    share = weights.marginals(np.array(graph.features), ends, is_skip, np.array(graph.gold))
     label = np.where(share.max(axis=1) >= MARGINAL, share.argmax(axis=1), OUTSIDE)
     free = (label != OUTSIDE) & (np.array(graph.gold) == OUTSIDE)
     chained = {b: a for a, b in graph.chain}
@@ -239,6 +286,8 @@ def added_spans(texts: list[str], spans: list[list[Span]], weights: Weights) ->
             start, end = graph.span[run[0]][0], graph.span[run[-1]][1]
             piece = texts[doc][start:end]
             start, end = start + len(piece) - len(piece.lstrip(_TRIM)), end - len(piece) + len(piece.rstrip(_TRIM))
+            if label[run[0]] == LABELS - 1 and (key := _KEY.search(texts[doc], start, end)):
+                start, end = key.span()
             if start < end and not any(s < end and start < e for _, s, e in spans[doc]):
                 out[doc].append((int(label[run[0]]) - 1, start, end))
         run.clear()
@@ -261,7 +310,8 @@ def learn(df: DataFrame, train_rows: int = TRAIN_ROWS) -> Weights:
         for b in batches:
             graph = Graph()
             for i, t in enumerate(b.column(1).to_pylist()):
-                graph.add(i, t, base_spans(t))
+                graph.add(i, t, base_spans(t) + secret_spans(t))
+            graph.spread_labels()
             # Features repeat a lot: equal (features, label) tokens matter once each, but edges need them all.
             yield pa.RecordBatch.from_arrays(
                 [
@@ -308,7 +358,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_ro
     session_for(df)
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     weights = learn(rows.select("doc_id", "_t"), train_rows)
-    names = ["doc_id", *["n_" + k for k in KINDS], "base_sha256", "spans", "n_added"] + ["masked"] * keep_text + [f"_carry_{c}" for c in carry]
+    names = ["doc_id", *["n_" + k for k in BASE_KINDS], "base_sha256", "spans", "n_added"] + ["masked"] * keep_text + [f"_carry_{c}" for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,7 +366,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_ro
             base = [base_spans(t) for t in texts]
             more = added_spans(texts, base, weights)
             columns = [b.column(0)]
-            columns += [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in range(len(KINDS))]
+            columns += [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in range(len(BASE_KINDS))]
             columns += [
                 pa.array([hashlib.sha256(write(x).encode()).hexdigest() for x in base], pa.string()),
                 pa.array([write(x + y) for x, y in zip(base, more, strict=True)], pa.string()), pa.array([len(y) for y in more], pa.int64()),

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloudweave.llm import classlm, langid, licenses, nbest, pii
 
@@ -201,25 +202,49 @@ def test_skip_chains_carry_labels_to_repeated_tokens():
     w = pii.Weights().fit(np.array(g.features), np.array(g.gold), ends, is_skip)
     phone = pii.KINDS.index("phone") + 1
     assert w.skip[phone, phone] > w.skip[phone, 0]
+    assert is_skip.any() and not (np.array(g.gold)[ends[is_skip]] == 0).any()
     probe = pii.Graph()
     for i, t in enumerate(["call +4912345678 and then 4912345678", "then 4912345678"]):
         probe.add(i, t, pii.base_spans(t))
     ends, is_skip = probe.edges()
-    share = w.marginals(np.array(probe.features), ends, is_skip)
-    assert share[1, phone] > share[2, phone]
+    share = w.marginals(np.array(probe.features), ends, is_skip, np.array(probe.gold))
+    assert share[1, phone] > 0.9 > share[2, phone]
+
+
+def test_the_field_adds_repeated_and_similar_tokens(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    planted = [
+        (f'token = "{key}" is used. Later {key} again', [("secret", key), ("secret", key)]),
+        ("Call +49 030 1234567 at noon. The number 0301234567 is home.", [("phone", "0301234567")]),
+        ("Mail john.smith@corp.example.com or john.smith@CORP soon", [("email", "john.smith@CORP")]),
+        ("Only 12345, 0301234567 and 4111111111111112 here", []),
+        ("Version 1.2.3 of 2024-01-02, 3 items", []),
+    ]
+    rows = [(f"{k}", t) for k, (t, _) in enumerate(planted)]
+    plain = table.select(F.concat(F.lit("t"), "doc_id").alias("doc_id"), "text")
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id string, text string").union(plain)).collect()}
+    for (doc, text), (_, want) in zip(rows, planted, strict=True):
+        base = pii.write(pii.base_spans(text))
+        added = [x.split(":") for x in got[doc]["spans"].split(",") if x and x not in base.split(",")]
+        assert [(k, text[int(a) : int(b)]) for k, a, b in added] == want, text
+        assert got[doc]["n_added"] == len(want) and all(x in got[doc]["spans"].split(",") for x in base.split(",") if x)
+        assert key not in got[doc]["masked"]
+    assert sum(r["n_added"] for r in got.values()) > 6
 
 
 def test_belief_propagation_is_exact_on_a_tree():
     rng = np.random.default_rng(0)
     w = pii.Weights()
-    w.unary[0], w.chain, s = rng.normal(size=5), rng.normal(size=(5, 5)), rng.normal(size=(5, 5))
+    k = pii.LABELS
+    w.unary[0], w.chain, s = rng.normal(size=k), rng.normal(size=(k, k)), rng.normal(size=(k, k))
     w.skip = s + s.T
     f = np.zeros((3, pii.N_FEATURES))
     f[:, 0] = 1
     f[1, 0] = 2
     ends, is_skip = np.array([[0, 1], [1, 2]]), np.array([False, True])
-    p = np.zeros((5, 5, 5))
-    for i in np.ndindex(5, 5, 5):
+    p = np.zeros((k, k, k))
+    for i in np.ndindex(k, k, k):
         p[i] = np.exp(sum(f[n, 0] * w.unary[0, i[n]] for n in range(3)) + w.chain[i[0], i[1]] + w.skip[i[1], i[2]])
     p /= p.sum()
     got = w.marginals(f, ends, is_skip)
