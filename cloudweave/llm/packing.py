@@ -1,8 +1,8 @@
 """Order-preserving packing of documents into sequences of at most ``size`` tokens.
 
 The tokens of a partition form one stream in the order of its rows. Cuts may fall at document ends
-(free), sentence ends (a truncation penalty) or, inside long stretches without either, at fixed steps
-(a larger penalty). Dynamic programming picks the cuts that minimise padding plus penalties:
+(free), sentence ends (a truncation penalty) or, inside stretches without either that are longer than a sequence, at fixed
+steps (a larger penalty). Dynamic programming picks the cuts that minimise padding plus penalties:
 
     f(p) = penalty(p) + size - p + min { f(q) + q : p - size <= q < p }
 
@@ -39,8 +39,10 @@ SIZE = 1024
 END_ID = 0
 SENTENCE_PENALTY = 8
 HARD_PENALTY = 32
-#: Stretches longer than this without a sentence end may be cut at multiples of HARD_STEP.
-HARD_GAP, HARD_STEP = 64, 32
+#: Stretches longer than a sequence without a sentence end may be cut at multiples of this.
+HARD_STEP = 32
+#: Runs of blanks from this length on are encoded without the vocabulary's pattern, which can't match runs of a million.
+LONG_BLANK = 256
 RUN_TOKENS = 1 << 18
 #: Words whose ids a worker remembers.
 WORDS_HELD = 300_000
@@ -103,20 +105,22 @@ class Encoder:
         for part in PARTS.findall(text):
             ids = known.get(part)
             if ids is None:
-                ids = np.array(self.bpe.encode_ordinary(part), dtype="<u4").tobytes()
+                # A run of blanks is one match of the pattern.
+                blank = len(part) >= LONG_BLANK and part.isspace()
+                ids = np.array(self.bpe._encode_single_piece(part) if blank else self.bpe.encode_ordinary(part), dtype="<u4").tobytes()
                 if len(known) < WORDS_HELD and len(part) < 64:
                     known[part] = ids
             out.append(ids)
 
 
-def candidates(soft: np.ndarray, ends: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+def candidates(soft: np.ndarray, ends: np.ndarray, total: int, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a stream of ``total`` tokens may be cut, with penalties. soft: sentence ends; ends: document ends."""
     penalty = np.full(total + 1, -1, dtype=np.int32)
     penalty[soft] = SENTENCE_PENALTY
     penalty[ends] = 0
     penalty[0] = penalty[total] = 0
     at = np.flatnonzero(penalty >= 0)
-    gaps = np.flatnonzero(np.diff(at) > HARD_GAP)
+    gaps = np.flatnonzero(np.diff(at) > size)
     for g in gaps.tolist():
         penalty[at[g] + HARD_STEP : at[g + 1] : HARD_STEP] = HARD_PENALTY
     at = np.flatnonzero(penalty >= 0)
@@ -166,7 +170,7 @@ class Packer:
             return
         stream = np.concatenate([ids[done:] for _, ids, done in self.docs])
         ends = np.cumsum([len(ids) - done for _, ids, done in self.docs])
-        at, penalty = candidates(np.flatnonzero(self.is_end[stream]) + 1, ends, len(stream))
+        at, penalty = candidates(np.flatnonzero(self.is_end[stream]) + 1, ends, len(stream), self.size)
         cuts = best_cuts(at.tolist(), penalty.tolist(), self.size, not last)
         if not last and len(cuts) > 2:
             cuts = cuts[:-1]

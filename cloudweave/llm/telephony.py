@@ -3,7 +3,7 @@
 A media column holds whole WAV files. ``encode_mulaw`` stores bytes losslessly as 8-bit mu-law samples;
 ``decode`` reads any of the three telephony formats back. Companded samples are expanded by 256-entry
 lookup tables; ADPCM blocks are decoded side by side, one numpy step a sample for all blocks of a batch.
-Decoded samples are resampled to twice the rate by linear interpolation and stored as 16-bit PCM.
+Decoded samples are resampled to twice the rate by an eight-point filter and stored as 16-bit PCM.
 
 Defined cases: a null or empty text becomes one block of 192 spaces; equal texts give equal media and
 features; texts of any length are processed in segments of bounded size; an empty table gives no rows;
@@ -100,12 +100,29 @@ def ima_encode(samples: np.ndarray, width: int = BLOCK) -> np.ndarray:
     return blocks
 
 
-def upsample(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate along the last axis: each sample, then the midpoint to the next (the last held)."""
-    out = np.empty((*pcm.shape[:-1], 2 * pcm.shape[-1]), dtype=np.int16)
-    out[..., ::2] = pcm
-    out[..., 1:-1:2] = (pcm[..., :-1].astype(np.int32) + pcm[..., 1:]) >> 1
-    out[..., -1] = pcm[..., -1]
+def _midpoint_filter(points: int) -> np.ndarray:
+    """Weights, in 2048ths, of the samples around a midpoint: the polynomial through them (Lagrange)."""
+    at = np.arange(points) - (points - 1) / 2
+    weights = [np.prod([-at[j] / (at[i] - at[j]) for j in range(points) if j != i]) for i in range(points)]
+    return np.rint(np.array(weights) * 2048).astype(np.int32)
+
+
+MIDPOINT = _midpoint_filter(8)
+#: Samples resampled in one go.
+STRETCH = 1 << 16
+
+
+def resample(pcm: np.ndarray) -> np.ndarray:
+    """Twice the rate: each sample, then the midpoint to the next by an eight-point filter (end samples held, clipped to 16 bits)."""
+    out = np.empty(2 * len(pcm), dtype=np.int16)
+    out[::2] = pcm
+    before = len(MIDPOINT) // 2 - 1
+    wide = np.pad(pcm, (before, before + 1), mode="edge") if len(pcm) else pcm
+    for lo in range(0, len(pcm), STRETCH):
+        part = wide[lo : lo + STRETCH + len(MIDPOINT) - 1].astype(np.int32)
+        n = len(part) - len(MIDPOINT) + 1
+        total = sum(w * part[k : k + n] for k, w in enumerate(MIDPOINT.tolist()))
+        out[2 * lo + 1 : 2 * (lo + n) : 2] = np.clip((total + 1024) >> 11, -32768, 32767)
     return out
 
 
@@ -161,18 +178,18 @@ SEGMENT = 2048
 def features(payloads: list[bytes]) -> list[str]:
     """One string a payload (each a multiple of BLOCK bytes): what the samples hold under the three decoders.
 
-    mu-law and A-law mean squares, mu-law peak and sign changes inside blocks, and the checksums of the resampled
-    mu-law PCM and of the PCM that the bytes decode to as ADPCM blocks.
+    mu-law and A-law mean squares, mu-law peak and sign changes inside blocks, and the checksum of the PCM that the bytes
+    decode to as ADPCM blocks.
     """
     sizes = np.array([len(p) // BLOCK for p in payloads])
     ends = np.cumsum(sizes)
     blocks = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, BLOCK)
     sums = np.zeros((4, len(payloads)), dtype=np.int64)
-    crcs = [[0, 0] for _ in payloads]
+    crcs = [0] * len(payloads)
     for lo in range(0, len(blocks), SEGMENT):
         part = blocks[lo : lo + SEGMENT]
         mu, a = MU[part], A[part]
-        doubled, adpcm = upsample(mu), np.ascontiguousarray(ima_decode(part))
+        adpcm = np.ascontiguousarray(ima_decode(part))
         wide = mu.astype(np.int64)
         first = int(np.searchsorted(ends, lo, side="right"))
         last = int(np.searchsorted(ends, lo + len(part) - 1, side="right"))
@@ -186,22 +203,24 @@ def features(payloads: list[bytes]) -> list[str]:
         sums[2, first : last + 1] = np.maximum(sums[2, first : last + 1], np.maximum.reduceat(each[2], starts))
         stops = np.append(starts[1:], len(part))
         for d, b, e in zip(range(first, last + 1), starts, stops, strict=True):
-            crcs[d][0] = zlib.crc32(doubled[b:e], crcs[d][0])
-            crcs[d][1] = zlib.crc32(adpcm[b:e], crcs[d][1])
+            crcs[d] = zlib.crc32(adpcm[b:e], crcs[d])
     n = np.maximum(sizes, 1) * BLOCK
     return [
-        f"mu={sums[0, i] // n[i]};alaw={sums[1, i] // n[i]};peak={sums[2, i]};turns={sums[3, i]};pcm16k={c[0]:08x};adpcm={c[1]:08x}"
+        f"mu={sums[0, i] // n[i]};alaw={sums[1, i] // n[i]};peak={sums[2, i]};turns={sums[3, i]};adpcm={c:08x}"
         for i, c in enumerate(crcs)
     ]
 
 
 def telephony_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """Per row: the id, n_bytes, the digests of the stored and reread form, features, and with keep_media the mu-law
-    file (``media``) and the resampled 16-bit PCM file (``pcm``)."""
+    """Per row: the id, n_bytes, the digests of the stored and reread form, features, and the size and digest of the stored PCM.
+
+    ``media`` is the mu-law file and ``pcm`` the file of its samples resampled to twice the rate, 16 bits each; keep_media returns
+    both. The feature's pcm16k is the checksum of the samples read back from the PCM file.
+    """
     session_for(df)
     schema = pa.schema([
         ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-        ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
+        ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pcm_bytes", pa.int64()), ("pcm_sha256", pa.string()),
         *([("media", pa.binary()), ("pcm", pa.binary())] if keep_media else []),
     ])
 
@@ -210,15 +229,17 @@ def telephony_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             texts = b.column(1).to_pylist()
             media = [wav(pad(t)) for t in texts]
             back = [read_wav(m)[2] for m in media]
+            pcm = [wav(resample(decode(m)).tobytes(), PCM, 2 * RATE) for m in media]
             out = {
                 "n_bytes": [len(t) for t in texts], "payload_bytes": [len(p) for p in back],
                 "payload_sha256": [hashlib.sha256(p).hexdigest() for p in back],
                 "tail_crc32": [zlib.crc32(p[-16:]) for p in back],
                 "media_bytes": [len(m) for m in media], "media_sha256": [hashlib.sha256(m).hexdigest() for m in media],
-                "feature": features(back) if back else [],
+                "feature": [f"{x};pcm16k={zlib.crc32(read_wav(p)[2]):08x}" for x, p in zip(features(back) if back else [], pcm, strict=True)],
+                "pcm_bytes": [len(p) for p in pcm], "pcm_sha256": [hashlib.sha256(p).hexdigest() for p in pcm],
             }
             if keep_media:
-                out |= {"media": media, "pcm": [wav(upsample(decode(m)).tobytes(), PCM, 2 * RATE) for m in media]}
+                out |= {"media": media, "pcm": pcm}
             yield pa.RecordBatch.from_arrays([b.column(0), *batch(schema, out).columns], names=["doc_id", *schema.names])
 
     rows = df.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("_t"))
@@ -228,4 +249,3 @@ def telephony_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony_column(documents(spark, sf_dir), keep_media=False)
-

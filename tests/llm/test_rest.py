@@ -34,6 +34,18 @@ def test_ids_equal_those_of_the_tokenizers_library(tokenizer):
         assert e(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_ids_of_long_runs(tokenizer):
+    e = packing.Encoder(packing.vocabulary_path())
+    for text in (" " * 2_000_000 + "x", "a" + " " * 300_000, "\n" * 200_000 + " b", "\u3000" * 50_000, "ab" * 100_000, " \n" * 1000):
+        assert e(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_sentences_are_cut_only_where_longer_than_a_sequence():
+    at, penalty = packing.candidates(np.array([100, 900, 3000]), np.array([1500, 3200]), 3200, 1024)
+    inside = at[penalty == packing.HARD_PENALTY]
+    assert len(inside) and inside.min() > 1500 and inside.max() < 3000
+
+
 def test_added_tokens_are_those_of_the_tokenizers_file(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -168,10 +180,22 @@ def test_media_of_awkward_rows(docs):
         assert m["n_bytes"] == len(text) and m["payload_bytes"] == len(data) and m["tail_crc32"] == zlib.crc32(data[-16:])
         pcm = telephony.decode(bytes(m["pcm"]))
         assert pcm[::2].tolist() == telephony.MU[np.frombuffer(data, np.uint8)].tolist()
+        assert telephony.read_wav(bytes(m["pcm"]))[1] == 16000 and m["pcm_bytes"] == len(m["pcm"])
+        assert m["feature"].endswith(f"pcm16k={zlib.crc32(pcm.tobytes()):08x}")
     assert by[2]["feature"] == by[3]["feature"] and by[0]["feature"] == by[5]["feature"] != by[9]["feature"]
     assert telephony.telephony_column(docs.limit(0)).count() == 0
 
 
+def test_resampling(monkeypatch):
+    assert telephony.MIDPOINT.tolist() == [-5, 49, -245, 1225, 1225, -245, 49, -5]
+    wave = lambda step, n: np.rint(np.sin(np.arange(n) * step) * 9000).astype(np.int16)
+    whole = telephony.resample(wave(0.4, 3000))
+    assert np.abs(whole.astype(int) - wave(0.2, 6000))[20:-20].max() <= 3
+    monkeypatch.setattr(telephony, "STRETCH", 7)
+    assert np.array_equal(telephony.resample(wave(0.4, 3000)), whole)
+    assert telephony.resample(np.array([5], dtype=np.int16)).tolist() == [5, 5] and not len(telephony.resample(np.zeros(0, dtype=np.int16)))
+
+
 def test_features_do_not_depend_on_segments(monkeypatch):
     payloads = [telephony.pad(b"hello world" * k) for k in (1, 50, 400, 3)]
     whole = telephony.features(payloads)
