@@ -2,9 +2,10 @@
 
 Candidate blocks are the lines of a text that hold a license cue word, and the paragraphs around such lines.
 Each block is compressed alone and with every template as a raw zstandard dictionary; templates are ranked by
-the bytes that the dictionary saves, in proportion. The best few are confirmed by aligning the exact words of block and
-template: enough of the template's words must occur in order, and all its words that hold a digit (versions).
-Missing and extra words are reported.
+the bytes that the dictionary saves, in proportion. All that save enough are confirmed by aligning the exact words of block and
+template: enough of the template's words must occur in order, and all its words that hold a digit (versions). The template
+that differs least wins its words, and what stands before and after them is searched again, so a block may hold several
+notices, each with its own span. Missing and extra words are reported.
 
 Defined cases: null and empty texts give no rows; repeated rows each give their rows; ties between templates go to
 the name that sorts first; lines and paragraphs of any length are scanned (a block longer than ``PIECE``
@@ -52,9 +53,7 @@ CUES = ("licen", "copyright", "warrant", "permission", "redistribut", "rights re
 PIECE, OVERLAP = 4000, 2000
 #: A template must save this share of the block's compressed bytes, or of its own length where the block is longer.
 LEAST_SAVED = 0.15
-#: Templates of one block that are compared word by word.
-FINALISTS = 3
-LEAST_WORDS = 0.85
+LEAST_WORDS, MOST_EXTRA = 0.85, 0.5
 BLOCKS_HELD = 20_000
 
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
@@ -88,29 +87,47 @@ class Scanner:
             found.append((saved / max(1, min(alone, len(self.plain.compress(self.text[n])))), n))
         return sorted(found, key=lambda x: (-x[0], x[1]))
 
-    def compare(self, block: str, name: str) -> tuple[int, int, int]:
-        """(template words found in order, template words missing, other words between the first and last of them)."""
-        mine, theirs = self.words[name], words(block)
-        matched = [m for m in difflib.SequenceMatcher(None, theirs, mine, autojunk=False).get_matching_blocks() if m.size]
+    def compare(self, theirs: list[str], name: str) -> tuple[int, int, int, int]:
+        """(template words found in order, other words between the first and last of them, first word, end) in a list of words."""
+        matched = [m for m in difflib.SequenceMatcher(None, theirs, self.words[name], autojunk=False).get_matching_blocks() if m.size]
         n = sum(m.size for m in matched)
-        span = matched[-1].a + matched[-1].size - matched[0].a if matched else 0
-        return n, len(mine) - n, span - n
+        if not n:
+            return 0, 0, 0, 0
+        start, end = matched[0].a, matched[-1].a + matched[-1].size
+        return n, end - start - n, start, end
 
     def confirm(self, block: str) -> list[tuple]:
-        """(template, saved, matched, missing, extra) of the winner among the finalists, or nothing."""
+        """(start, end, template, saved, matched, missing, extra) of all notices in a block, none overlapping another."""
         if block in self.known:
             return self.known[block]
-        found, here = [], set(words(block))
-        for saved, name in self.savings(block)[:FINALISTS]:
-            if saved < LEAST_SAVED or any(w not in here for w in self.words[name] if any(c.isdigit() for c in w)):
+        spots = [m.span() for m in _WORD.finditer(block)]
+        own = [block[a:b].lower() for a, b in spots]
+        found, parts = [], [(0, len(own))]
+        while parts:
+            lo, hi = parts.pop()
+            some, here = own[lo:hi], set(own[lo:hi])
+            # Templates that lack too many words anywhere, or a version, can't be confirmed.
+            able = {
+                n for n, w in self.words.items()
+                if sum(x in here for x in w) >= LEAST_WORDS * len(w) and all(x in here for x in w if any(c.isdigit() for c in x))
+            }
+            if not able:
                 continue
-            matched, missing, extra = self.compare(block, name)
-            if matched >= LEAST_WORDS * len(self.words[name]) and extra <= 0.5 * len(self.words[name]):
-                found.append((missing + extra, -matched, -saved, name, (name, saved, matched, missing, extra)))
-        best = [min(found)[-1]] if found else []
+            best = []
+            for saved, name in self.savings(block[spots[lo][0] : spots[hi - 1][1]]):
+                if saved >= LEAST_SAVED and name in able:
+                    matched, extra, a, b = self.compare(some, name)
+                    n = len(self.words[name])
+                    if matched >= LEAST_WORDS * n and extra <= MOST_EXTRA * n:
+                        best.append((n - matched + extra, -matched, -saved, name, a, b, (name, saved, matched, n - matched, extra)))
+            if best:
+                *_, a, b, row = min(best)
+                found.append((spots[lo + a][0], spots[lo + b - 1][1], *row))
+                parts += [(lo, lo + a), (lo + b, hi)]
+        found.sort()
         if len(self.known) < BLOCKS_HELD:
-            self.known[block] = best
-        return best
+            self.known[block] = found
+        return found
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
         """Cue lines, and paragraphs of several lines that hold one."""
@@ -134,7 +151,7 @@ class Scanner:
         return sorted(out, key=lambda x: (x[0], x[1]))
 
     def scan(self, text: str) -> list[tuple]:
-        """(start, end, template, saved, matched, missing, extra); a paragraph counts only for templates that none of its lines has."""
+        """(start, end, template, saved, matched, missing, extra); the same template once where spans of lines, paragraphs or pieces overlap."""
         low = text.lower()
         if not any(c in low for c in CUES):
             return []
@@ -144,12 +161,13 @@ class Scanner:
         for start, end in by_size:
             for a in range(start, end, OVERLAP) if end - start > PIECE else (start,):
                 b = min(end, a + PIECE)
-                for name, *rest in self.confirm(text[a:b]):
+                for first, last, name, *rest in self.confirm(text[a:b]):
+                    first, last = a + first, a + last
                     spots = at_of.setdefault(name, [])
-                    k = bisect.bisect_left(spots, (start, 0))
-                    if k == len(spots) or spots[k][1] > end:
-                        bisect.insort(spots, (a, b))
-                        found.append((a, b, name, *rest))
+                    k = bisect.bisect_left(spots, (first, 0))
+                    if not (k < len(spots) and spots[k][0] < last) and not (k and spots[k - 1][1] > first):
+                        spots.insert(k, (first, last))
+                        found.append((first, last, name, *rest))
                 if b == end:
                     break
         return sorted(found)

@@ -268,7 +268,37 @@ def test_licenses():
 def test_licenses_of_awkward_rows(spark, docs):
     assert licenses.scan_licenses(docs).count() == 0
     twice = spark.createDataFrame([(1, "Released under the MIT License.\nx\nReleased under the MIT License."), (1, None)], "doc_id long, text string")
-    assert [(r["start"], r["end"], r["license"]) for r in licenses.scan_licenses(twice).orderBy("start").collect()] == [(0, 31, "mit"), (34, 65, "mit")]
+    assert [(r["start"], r["end"], r["license"]) for r in licenses.scan_licenses(twice).orderBy("start").collect()] == [(0, 30, "mit"), (34, 64, "mit")]
+
+
+def test_every_notice_of_a_line_is_found():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    line = "Released under the MIT License. Licensed under CC BY 4.0."
+    assert [(line[a:b], n) for a, b, n, *_ in s.scan(line)] == [("Released under the MIT License", "mit"), ("Licensed under CC BY 4.0", "cc-by-4.0")]
+    rnd = random.Random(3)
+    # The license itself is part of some templates: these are told apart by what else they hold.
+    names = ["all-rights-reserved", "bsd-2-clause", "bsd-license", "cc-by-nc-4.0", "cc0-1.0", "gpl-2.0", "isc", "mit", "mit-notice", "unlicense"]
+    for _ in range(40):
+        some = rnd.sample(names, rnd.randint(1, 4))
+        parts = [" ".join(rnd.choices(["alpha", "beta", "gamma", "delta"], k=rnd.randint(0, 12))) for _ in range(len(some) + 1)]
+        text = parts[0] + "".join(f" {licenses.TEMPLATES[n]} {p}" for n, p in zip(some, parts[1:], strict=True))
+        assert [x[2] for x in s.scan(text)] == some, text
+        # Far into a line that is compared in pieces.
+        long = "word " * 3000 + text + " word" * 3000
+        assert [(a - 15000, b - 15000, n) for a, b, n, *_ in s.scan(long)] == [(a, b, n) for a, b, n, *_ in s.scan(text)] or len(text) > licenses.OVERLAP
+
+
+def test_cues_lose_no_template():
+    for name, text in licenses.TEMPLATES.items():
+        held = [w for w in licenses.words(text) if any(c in w for c in licenses.CUES)]
+        assert held or any(c in text.lower() for c in licenses.CUES), name
+
+
+def test_license_ties_and_clashing_columns(spark):
+    two = {"b": "Released under the Foo License.", "a": "Released under the Foo License."}
+    rows = [(1, "Released under the Foo License.", "x", 5), (1, "Released under the Foo License.", "x", 5), (2, "", "y", 6)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, license string, start int"), templates=two).collect()
+    assert [(r["doc_id"], r["license"]) for r in got] == [(1, "a"), (1, "a")]
 
 
 @pytest.fixture(scope="module")
