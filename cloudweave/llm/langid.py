@@ -31,6 +31,8 @@ ORDER = 3
 PIECE = 1 << 20
 ROWS_PER_LANG = 4000
 UNKNOWN = "und"
+#: A text of so many letters whose cosine is within so many standard deviations of chance is in no known language.
+LEAST_LETTERS, NOISE = 64, 3.0
 
 
 class Encoder:
@@ -207,17 +209,24 @@ def held_out(id_col: str = "doc_id"):
 
 
 def keep_known(df: DataFrame) -> DataFrame:
-    """The rows of documents that are in some language, as they are: null texts and texts without a letter go."""
+    """The rows of documents that are in one of the languages learned; where ``lang`` is null it gets the prediction.
+
+    Null texts and texts without a letter go, and so do texts of ``LEAST_LETTERS`` letters or more whose best cosine is no larger than
+    that of random vectors may be (``NOISE`` standard deviations): other languages and scripts, and strings in none. Shorter texts have
+    too few n-grams for that and stay. Where nothing could be learned letters alone decide.
+    """
     session_for(df)
     langs, prototypes = learn(df.where(~held_out()).select("doc_id", "text", "lang"))
     # Columns travel under names that clash with nothing.
     kept = {f"_keep{n}": c for n, c in enumerate(df.columns)}
     plain = df.select("doc_id", "text", *[F.col(c).alias(k) for k, c in kept.items()])
     found = predict(plain, langs, prototypes, carry=tuple(kept))
-    # Where nothing could be learned every text is unknown: then letters alone decide.
-    text = next(k for k, c in kept.items() if c == "text")
-    known = F.col("lang_pred") != UNKNOWN if langs else F.col(text).rlike("\\p{L}")
-    return found.where(known).select(*[F.col(k).alias(c) for k, c in kept.items()])
+    text, lang = (next(k for k, c in kept.items() if c == name) for name in ("text", "lang"))
+    if not langs:
+        return found.where(F.col(text).rlike("\\p{L}")).select(*[F.col(k).alias(c) for k, c in kept.items()])
+    few = F.length(F.regexp_replace(text, "\\P{L}+", "")) < LEAST_LETTERS
+    known = (F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= NOISE / prototypes.shape[1] ** 0.5) | few)
+    return found.where(known).select(*[F.coalesce(k, "lang_pred").alias(c) if k == lang else F.col(k).alias(c) for k, c in kept.items()])
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from cloudweave.llm.ann import op7_ann
@@ -32,7 +31,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nbest": op8_nbest,
         "op9_telephony": op9_telephony,
         "op10_stratified_shards": op10_stratified_shards,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -38,6 +38,42 @@ def test_langid_of_awkward_rows(docs):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 3
 
 
+def test_rows_in_no_known_language_go(spark):
+    rnd = random.Random(2)
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = ["".join(rnd.choices("日本語文字列漢仮名交", k=300)), "".join(rnd.choices("0123456789qxzjkwQXZJKW+/", k=400)), "Привет мир и всем " * 20]
+    short = ["Grüße", "東京"]
+    more = spark.createDataFrame([(10**6 + k, t, None) for k, t in enumerate(odd + short)], "doc_id long, text string, lang string")
+    blank = sf.where("doc_id < 100").select((F.col("doc_id") + 2 * 10**6).alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"))
+    kept = {r["doc_id"]: r for r in langid.keep_known(sf.union(more).union(blank)).collect()}
+    assert [10**6 + k in kept for k in range(5)] == [False, False, False, True, True]
+    was = {r["doc_id"]: r["lang"] for r in sf.collect()}
+    assert all(d in kept and kept[d]["lang"] == l for d, l in was.items())
+    again = [kept[d]["lang"] == was[d - 2 * 10**6] for d in kept if d >= 2 * 10**6]
+    assert len(again) == blank.count() and sum(again) >= 0.95 * len(again)
+
+
+def test_predictions_against_brute_force(spark, table):
+    """n-grams bound and bundled one by one, prototypes and cosines in plain Python."""
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in table.select("doc_id", "text", "lang").limit(60).collect()]
+    e = langid.Encoder(64)
+
+    def vector(text):
+        t = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
+        return sum((np.roll(e._letter(ord(a)).astype(float), 2) * np.roll(e._letter(ord(b)), 1) * e._letter(ord(c)) for a, b, c in zip(t, t[1:], t[2:])), np.zeros(64))
+
+    vectors = {d: vector(t) for d, t, _ in docs}
+    langs = sorted({l for _, _, l in docs})
+    prototypes = np.array([sum(vectors[d] / np.linalg.norm(vectors[d]) for d, _, l in docs if l == x) for x in langs])
+    prototypes /= np.linalg.norm(prototypes, axis=1, keepdims=True)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found, learned = langid.learn(df, dim=64)
+    assert found == langs and np.allclose(learned, prototypes, atol=1e-5)
+    for r in langid.predict(df, found, learned).collect():
+        cosine = prototypes @ vectors[r["doc_id"]] / np.linalg.norm(vectors[r["doc_id"]])
+        assert abs(max(cosine.max(), 0) - r["score"]) < 1e-4 and cosine[langs.index(r["lang_pred"])] > cosine.max() - 1e-4
+
+
 def test_pieces_and_batches_do_not_change_vectors(monkeypatch):
     texts = ["The cat  sat, on the mat!", "x", "", None, "abc " * 50, "été où", "12 34"]
     whole, _ = langid.Encoder(64).encode(texts)
