@@ -375,29 +375,40 @@ def _crowd_links(tests: int, similarity: float) -> Callable[[pa.Table], pa.Table
     return pair
 
 
-def _link_crowds(crowds: DataFrame, similar: DataFrame, reps: DataFrame, known: DataFrame, similarity: float, block: int = CROWD_BLOCK, tests: int = FIRST_TESTS) -> DataFrame:
-    """similar, with links enough to join all similar members of each crowd (k, node, n, pos).
+def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, c) joined by links (src, dst): only the components that links join are looked at, not their members."""
+    ends = component.select(F.col("node").alias("src"), F.col("c").alias("a"))
+    links = links.join(ends, "src", "left").join(ends.toDF("dst", "b"), "dst", "left").select("src", "dst", F.coalesce("a", "src").alias("a"), F.coalesce("b", "dst").alias("b"))
+    links = materialise(links)
+    joined = connected_components(links.select("a", "b").distinct(), "a", "b").select(F.col("node").alias("c"), F.col("component").alias("to"))
+    alone = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().join(component, "node", "left_anti")
+    every = component.unionByName(alone.select("node", F.col("node").alias("c")))
+    return materialise(every.join(joined, "c", "left").select("node", F.coalesce("to", "c").alias("c")))
+
+
+def _link_crowds(crowds: DataFrame, component: DataFrame, reps: DataFrame, known: DataFrame, similarity: float, block: int = CROWD_BLOCK, tests: int = FIRST_TESTS) -> DataFrame:
+    """component (node, c), with all similar members of each crowd (k, node, n, pos) in one.
 
     Crowds that the links so far hold together are done. In the others the sketches of members of different components are
     compared block by block, and the pairs they leave are tested: ``tests`` of a member with each other component, eight times as
     many in each further turn, until none is left out. So nothing is missed, and a crowd of near copies never gives all its pairs.
     """
     while not crowds.isEmpty():
-        component = connected_components(similar).select("node", F.col("component").alias("c"))
         placed = materialise(crowds.join(component, "node", "left").select("k", "node", "n", "pos", F.coalesce("c", "node").alias("c")))
         sizes = placed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
         apart = placed.join(sizes.select("k", F.ceil(F.col("m") / block).cast("int").alias("parts")), "k")
         apart = apart.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         apart = apart.join(reps.select("node", "bits"), "node").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
         apart = apart.withColumns({"a": F.least("slice", "other"), "b": F.greatest("slice", "other")})
-
         found = apart.select("k", "a", "b", "node", "n", "pos", "c", "slice", "bits").groupBy("k", "a", "b").applyInArrow(_crowd_links(tests, similarity), "src long, dst long, more boolean")
         found = materialise(found.select(*_ordered("src", "dst"), "more").groupBy("src", "dst").agg(F.max("more").alias("more")))
-        similar = materialise(similar.union(_similar(found.select("src", "dst"), known, similarity)).distinct())
+        links = materialise(_similar(found.select("src", "dst"), known, similarity))
+        if not links.isEmpty():
+            component = _merged(component, links)
         if found.where("more").isEmpty():
             break
         crowds, tests = placed.select("k", "node", "n", "pos").join(sizes.select("k"), "k", "left_semi"), tests * 8
-    return similar
+    return component
 
 
 def _byte_index_pairs(reps: DataFrame) -> DataFrame:
@@ -486,8 +497,8 @@ def _near_duplicate_rows(df: DataFrame, tables: Tables, id_col: str, text_col: s
     wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(crowds.select("node")).distinct()
     asked = reps.join(wanted, "node", "left_semi").select("doc_id", "h", "node")
     known = tables.write("known", texts.join(asked, ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "node"]).select("node", "_t"))
-    similar = _link_crowds(crowds, materialise(_similar(pairs, known, similarity)), reps, known, similarity)
-    classes = connected_components(similar).select("node", F.col("component").alias("c"))
+    component = connected_components(_similar(pairs, known, similarity)).select("node", F.col("component").alias("c"))
+    classes = _link_crowds(crowds, component, reps, known, similarity)
     named = reps.join(classes, "node", "left").select(F.col("digest").alias("node"), F.coalesce("c", "node").alias("c"))
     return docs.select("doc_id", "h", "node").join(named, "node").select("doc_id", "h", "c")
 
