@@ -44,8 +44,10 @@ SMOOTHING = 10.0
 SCALE = 1 << 20
 #: Distinct words a counting task holds before it hands them on.
 HELD = 400_000
-#: Groups that tasks' bigram rows are merged in before they are merged together.
-MERGE = 64
+#: Tasks whose bigram rows are merged before all are.
+MERGE = 32
+#: Words whose neighbours a task sums at a time.
+SUMMED = 1 << 19
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -135,7 +137,7 @@ def bigram_counts(encoded: DataFrame, of: np.ndarray, rare: int, end: int) -> np
         total = np.zeros(size * size, dtype=np.int64)
         for x in _streams(batches, of, rare, end):
             total += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
-        rows, task = [(i, r) for i, r in enumerate(total.reshape(size, size)) if r.any()], TaskContext.get().partitionId() % MERGE
+        rows, task = [(i, r) for i, r in enumerate(total.reshape(size, size)) if r.any()], TaskContext.get().partitionId() // MERGE
         if rows:
             columns = [pa.array([i for i, _ in rows], pa.int32()), pa.array([task] * len(rows), pa.int32()), pa.array([zlib.compress(r.tobytes(), 1) for _, r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["i", "g", "v"])
@@ -240,7 +242,7 @@ def move_head(encoded: DataFrame, of: np.ndarray, pairs: np.ndarray, counts: np.
                 ids += [x, [-1]]
                 around += [np.where(x < 0, rare, of[x]), [end]]
                 n += len(x)
-            if n > 1 << 21 or b is None:
+            if n > SUMMED or b is None:
                 sums = _added(sums, neighbours(ids, around))
                 ids, around, n = [np.array([-1])], [np.array([end])], 0
         if sums.shape[1]:
