@@ -202,7 +202,7 @@ SHINGLE_WORDS = 5
 #: Members of one shingle of which every pair is proposed; larger crowds are compared in blocks.
 ALL_PAIRS = 24
 #: Members of a crowd in one block, and links first tested between a member and another component.
-CROWD_BLOCK, FIRST_TESTS = 2048, 8
+CROWD_BLOCK, FIRST_TESTS = 2048, 2
 #: Documents that the order of shingles is drawn from: a share of the table, and this many at least.
 ORDER_ROWS, ORDER_SHARE = 20_000, 0.02
 #: Shingles found this often there, the most frequent first, come last in the order.
@@ -240,11 +240,11 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    """Whether an odd number of the set's hashes falls on each of about as many bits as it has hashes.
+    """Whether an odd number of the set's hashes falls on each of four to eight times as many bits as it has hashes.
 
     Two sets differ in at least as many hashes as their sketches, folded to one length, differ in bits.
     """
-    width = min(SKETCH_BITS, max(64, 1 << max(0, len(s) - 1).bit_length()))
+    width = min(SKETCH_BITS, max(256, 4 << max(0, len(s) - 1).bit_length()))
     return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
 
 
