@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudweave.functions.geometry import XYZ
 from cloudweave.operators.components import connected_components
 from cloudweave.operators.iteration import cut
 from cloudweave.operators.neighbours import neighbours, neighbours_by
+from cloudweave.operators.ranking import ranked
 from cloudweave.operators.voxels import voxel_adjacency
 
 
 def _numbered(nodes: DataFrame, order: list[Column]) -> DataFrame:
-    """Nodes with a cluster number counted from 1 in the given order. One row a cluster, so one task numbers them."""
-    return nodes.withColumn("cluster", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """Nodes with a cluster number counted from 1 in the given order. Every isolated point may be a cluster, so ranges are ranked apart."""
+    return ranked(nodes, order, "cluster")
 
 
 def core_graph(points: DataFrame, edges: DataFrame, min_points: int) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -40,18 +41,16 @@ def density_raster(points: DataFrame, size_x: float, size_y: float) -> DataFrame
     """(row, col, x, y, density) of a raster over the XY box padded by half a cell.
 
     Node (i, j) lies at (least x + j * size_x, largest y - i * size_y); its density is the sum of exp(-d^2 / r^2) over the points within
-    r, half the longer side. Empty nodes are kept.
+    r, half the longer side. Empty nodes are kept. Nodes are a range of numbers, so their tasks share the raster.
     """
-    box = bounds(points, XY).select(
-        (F.col("min_x") - size_x / 2).alias("x0"), (F.col("max_y") + size_y / 2).alias("y1"),
-        F.ceil((F.col("max_y") - F.col("min_y") + size_y) / size_y).cast("int").alias("rows"), F.ceil((F.col("max_x") - F.col("min_x") + size_x) / size_x).cast("int").alias("cols"),
-    )
-    nodes = (
-        box.where("rows is not null")
-        .withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
-        .withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
-        .select(F.struct("row", "col").alias("pid"), "row", "col", (F.col("x0") + F.col("col") * size_x).alias("x"), (F.col("y1") - F.col("row") * size_y).alias("y"))
-    )
+    spark, box = points.sparkSession, bounds(points, XY).first()
+    rows, cols, x0, y1 = 0, 1, 0.0, 0.0
+    if box["min_x"] is not None:
+        low_x, high_x, low_y, high_y = (float(box[c]) for c in ("min_x", "max_x", "min_y", "max_y"))
+        rows, cols = math.ceil((high_y - low_y + size_y) / size_y), math.ceil((high_x - low_x + size_x) / size_x)
+        x0, y1 = low_x - size_x / 2, high_y + size_y / 2
+    nodes = spark.range(rows * cols).select(F.expr(f"id div {cols}").cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
+    nodes = nodes.select(F.struct("row", "col").alias("pid"), "row", "col", (F.lit(x0) + F.col("col") * size_x).alias("x"), (F.lit(y1) - F.col("row") * size_y).alias("y"))
     radius = max(size_x, size_y) / 2
     found = range_join(nodes, points, radius, XY).groupBy("i").agg(F.sum(F.exp(-F.col("d2") / F.lit(radius * radius))).alias("density"))
     return nodes.join(found, nodes["pid"] == found["i"], "left").select("row", "col", "x", "y", F.coalesce("density", F.lit(0.0)).alias("density"))

@@ -10,13 +10,14 @@ Densities are rounded to 9 digits: sums of doubles depend on the order of rows,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudweave.operators.clustering import _with_borders, core_graph
 from cloudweave.operators.density import local_gaussian
 from cloudweave.operators.iteration import cut
 from cloudweave.operators.neighbours import neighbours
+from cloudweave.operators.ranking import ranked
 
 
 def parents(points: DataFrame, edges: DataFrame, rho: DataFrame) -> DataFrame:
@@ -38,12 +39,11 @@ def parents(points: DataFrame, edges: DataFrame, rho: DataFrame) -> DataFrame:
 
 
 def centres(found: DataFrame, dc: float, share: float) -> DataFrame:
-    """(pid, rank, promoted) of the centres in order of gamma = rho * delta: of the top share of points those that are peaks or farther than dc from their parent."""
+    """(pid, rank) of the centres in order of gamma = rho * delta: of the top share of points those that are peaks or farther than dc from their parent."""
     n = int(found.count() * share)
     gamma = F.round(F.col("rho") * F.col("delta"), 9)
-    top = found.withColumn("gamma", gamma).orderBy(F.desc("gamma"), "pid").limit(n)
-    ranked = top.where(F.col("peak") | (F.col("delta") > dc))
-    return ranked.select("pid", F.row_number().over(Window.orderBy(F.desc("gamma"), "pid")).cast("long").alias("rank"))
+    top = ranked(found.select("pid", "peak", "delta", gamma.alias("gamma")), [F.desc("gamma"), F.col("pid")], "place").where(F.col("place") <= n)
+    return ranked(top.where(F.col("peak") | (F.col("delta") > dc)).select("pid", "place"), [F.col("place")], "rank").select("pid", "rank")
 
 
 def _follow(found: DataFrame, labelled: DataFrame, only_below: float | None) -> DataFrame:
@@ -84,26 +84,19 @@ def density_reachable(points: DataFrame, edges: DataFrame, heads: DataFrame, dc:
     """(pid, cluster) of all points by density expansion from the centres (pid, rank) only.
 
     A core centre of a component that no earlier centre started takes the next number. A centre that is no core burns a number
-    unless it lies next to a started component. Only the few centres are walked through on the driver.
+    unless it lies next to a component that started before it. A component starts at its first core centre, so numbers are ranks of the
+    starts and burns together.
     """
     near = cut(edges.where(F.col("d2") <= dc * dc).select("i", "j"))
     _, parts = core_graph(points, near, min_points)
     parts = cut(parts)
-    mine = heads.join(parts, "pid", "left").select("pid", "rank", "component")
-    beside = heads.select(F.col("pid").alias("i")).join(near, "i").join(parts.select(F.col("pid").alias("j"), F.col("component").alias("c")), "j")
-    beside = beside.groupBy(F.col("i").alias("pid")).agg(F.collect_set("c").alias("around"))
-    started: dict = {}
-    number = 0
-    for r in mine.join(beside, "pid", "left").orderBy("rank").collect():
-        if r["component"] is not None:
-            if r["component"] not in started:
-                number += 1
-                started[r["component"]] = (number, r["pid"])
-        elif not any(c in started for c in r["around"] or ()):
-            number += 1
-    spark, kind = points.sparkSession, points.schema["pid"].dataType.simpleString()
-    table = spark.createDataFrame([(c, n, p) for c, (n, p) in started.items()], f"component {kind}, cluster long, start {kind}")
-    members = parts.join(F.broadcast(table.select("component", "cluster")), "component", "left").select("pid", F.coalesce("cluster", F.lit(0)).alias("cluster"))
+    starts = cut(heads.join(parts, "pid").groupBy("component").agg(F.min(F.struct("rank", "pid")).alias("s")).select("component", "s.rank", F.col("s.pid").alias("start")))
+    beside = near.join(parts.select(F.col("pid").alias("j"), "component"), "j").join(starts.select("component", F.col("rank").alias("began")), "component")
+    first = beside.groupBy(F.col("i").alias("pid")).agg(F.min("began").alias("began"))
+    loose = heads.join(parts, "pid", "left_anti").join(first, "pid", "left").where(F.col("began").isNull() | (F.col("began") > F.col("rank")))
+    events = starts.select("rank", "component", "start").unionByName(loose.select("rank"), allowMissingColumns=True)
+    table = cut(ranked(events, [F.col("rank")], "cluster").where("component is not null"))
+    members = parts.join(table.select("component", "cluster"), "component", "left").select("pid", F.coalesce("cluster", F.lit(0)).alias("cluster"))
     return _with_borders(points, near, members, table.select(F.col("start").alias("pid"), "cluster"))
 
 

@@ -250,7 +250,20 @@ def _(spark, sf):
     return n.select("pid", "k", F.round("curvature", 5).alias("curvature"))
 
 
-@query("facade_ground")
+#: Moments, least eigenvalue and adjugate of (covariance - eigenvalue) of the 14 nearest points and the point itself: the adjugate is a
+#: multiple of the outer product of the normal with itself, whose sign doesn't matter.
+NORMALS15 = f"""nb AS (SELECT a.pid, b.x - a.x AS x, b.y - a.y AS y, b.z - a.z AS z, row_number() OVER (PARTITION BY a.pid ORDER BY {D3}, b.pid) AS r FROM pc a, pc b WHERE a.pid <> b.pid),
+nm AS (SELECT pid, sum(x) / 15 AS mx, sum(y) / 15 AS my, sum(z) / 15 AS mz, sum(x * x) / 15 AS xx, sum(y * y) / 15 AS yy, sum(z * z) / 15 AS zz, sum(x * y) / 15 AS xy, sum(x * z) / 15 AS xz, sum(y * z) / 15 AS yz FROM nb WHERE r <= 14 GROUP BY pid),
+nc AS (SELECT pid, xx - mx * mx AS a, yy - my * my AS b, zz - mz * mz AS c, xy - mx * my AS d, xz - mx * mz AS e, yz - my * mz AS f FROM nm),
+np AS (SELECT *, (a + b + c) / 3 AS q, sqrt(((a - (a + b + c) / 3) ** 2 + (b - (a + b + c) / 3) ** 2 + (c - (a + b + c) / 3) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS p FROM nc),
+nr AS (SELECT *, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p) AS r FROM np),
+nl AS (SELECT pid, a, b, c, d, e, f, q + 2 * p * cos(acos(least(greatest(r, -1), 1)) / 3 + 2 * pi() / 3) AS l FROM nr),
+nt AS (SELECT pid, (b - l) * (c - l) - f * f AS p11, (a - l) * (c - l) - e * e AS p22, (a - l) * (b - l) - d * d AS p33, e * f - d * (c - l) AS p12, d * f - e * (b - l) AS p13, d * e - (a - l) * f AS p23 FROM nl),
+nv AS (SELECT *, p11 + p22 + p33 AS tr FROM nt)"""
+
+
+@query("facade_ground", f"""WITH {CLOUD_SQL}, {NORMALS15}, up AS (SELECT pid, sqrt(greatest(p33 / tr, 0)) AS up FROM nv)
+SELECT pid, CASE WHEN up < cos(radians(85)) THEN 'facade' ELSE 'ground' END AS surface FROM up WHERE up < cos(radians(85)) OR up > cos(radians(15))""")
 def _(spark, sf):
     return cleaning.facade_or_ground(normals.normals_knn(cloud(spark, sf), 15)).select("pid", "surface")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cloudweave.operators import clustering
 from cloudweave.operators.components import connected_components
 from cloudweave.operators.neighbours import neighbours
-from cloudweave.plans.cleaning import D3, LEAF, R2, RADIUS
+from cloudweave.plans.cleaning import D3, LEAF, NORMALS15, R2, RADIUS
 from cloudweave.plans.registry import query
 from cloudweave.sources.views import CLOUD_SQL, LATTICE_SQL, cloud, lattice
 
@@ -80,7 +80,16 @@ def _(spark, sf):
     return clustering.region_growing(normals_knn(pc, 15), neighbours(pc, 0.08).drop("d2"), 0.35, 0.1)
 
 
-@query("region_growing_rule")
+def _by_normals(intensity: float, across: float) -> str:
+    """Components of neighbours of similar intensity or normals at right angles, named as conditional_clusters names them."""
+    product = "a.p11 * b.p11 + a.p22 * b.p22 + a.p33 * b.p33 + 2 * (a.p12 * b.p12 + a.p13 * b.p13 + a.p23 * b.p23)"
+    return f"""WITH RECURSIVE {CLOUD_SQL}, {NORMALS15}, {_EDGES}, v AS (SELECT pid FROM pc),
+g AS (SELECT e.i, e.j FROM e JOIN pc m ON m.pid = e.i JOIN pc n ON n.pid = e.j JOIN nv a ON a.pid = e.i JOIN nv b ON b.pid = e.j WHERE abs(m.label * 2 - n.label * 2) < {intensity} OR sqrt(greatest(({product}) / (a.tr * b.tr), 0)) < {across}), {_REACH},
+s AS (SELECT c, count(*) AS n FROM comp GROUP BY c), t AS (SELECT count(*) AS total FROM pc)
+SELECT comp.pid, (CASE WHEN s.n < floor(total * 0.001) THEN -2 WHEN s.n > floor(total * 0.2) THEN 10 ELSE comp.c % 8 END)::BIGINT AS cluster FROM comp JOIN s ON s.c = comp.c, t"""
+
+
+@query("region_growing_rule", _by_normals(8, 0.06))
 def _(spark, sf):
     from cloudweave.operators.normals import normals_knn
 
@@ -88,7 +97,7 @@ def _(spark, sf):
     return clustering.conditional_clusters(pc, RADIUS, clustering.region_growing_rule())
 
 
-@query("curvature_or_intensity")
+@query("curvature_or_intensity", _by_normals(5, 0.05))
 def _(spark, sf):
     from cloudweave.operators.normals import normals_knn
 

@@ -8,7 +8,7 @@ from cloudweave.functions.geometry import XYZ
 from cloudweave.operators import chameleon, cleaning, graphs, models, registration
 from cloudweave.operators.iteration import cut
 from cloudweave.operators.normals import normals_knn
-from cloudweave.plans.cleaning import D2, D3, MATRIX, RADIUS
+from cloudweave.plans.cleaning import D2, D3, MATRIX, R2, RADIUS
 from cloudweave.plans.registry import query
 from cloudweave.sources.views import CLOUD_SQL, cloud
 
@@ -129,13 +129,16 @@ def _(spark, sf):
     return clusters
 
 
-@query("graph_radius")
+@query("graph_radius", f"""WITH {CLOUD_SQL}, k AS (SELECT a.pid AS i, b.pid AS j, {D3} AS d2, row_number() OVER (PARTITION BY a.pid ORDER BY {D3}, b.pid) AS r FROM pc a, pc b WHERE a.pid <> b.pid AND {D3} <= {R2}),
+g AS (SELECT least(i, j) AS src, greatest(i, j) AS dst, min(d2) AS d2 FROM k WHERE r <= 10 GROUP BY 1, 2) SELECT src, dst, round(exp(-d2 / (SELECT avg(d2) FROM g) / 3.0), 6) AS w FROM g""")
 def _(spark, sf):
     vertices, edges = graphs.graph_radius(cloud(spark, sf).select("pid", *XYZ), RADIUS)
     return graphs.weighted(vertices, edges).withColumn("w", F.round("w", 6))
 
 
-@query("graph_voxels")
+@query("graph_voxels", f"""WITH {CLOUD_SQL}, v AS (SELECT floor(x / 0.1)::BIGINT AS vx, floor(y / 0.1)::BIGINT AS vy, floor(z / 0.1)::BIGINT AS vz, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pc GROUP BY 1, 2, 3),
+g AS (SELECT a.vx, a.vy, a.vz, b.vx AS wx, b.vy AS wy, b.vz AS wz, {D3} AS d2 FROM v a, v b WHERE (a.vx, a.vy, a.vz) < (b.vx, b.vy, b.vz) AND abs(a.vx - b.vx) <= 1 AND abs(a.vy - b.vy) <= 1 AND abs(a.vz - b.vz) <= 1)
+SELECT vx, vy, vz, wx, wy, wz, round(exp(-d2 / (SELECT avg(d2) FROM g) / 3.0), 6) AS w FROM g""")
 def _(spark, sf):
     vertices, edges = graphs.graph_voxels(cloud(spark, sf), 0.1)
     return graphs.weighted(vertices, edges).select("src.*", F.col("dst.vx").alias("wx"), F.col("dst.vy").alias("wy"), F.col("dst.vz").alias("wz"), F.round("w", 6).alias("w"))

@@ -12,17 +12,16 @@ from cloudweave.sources.views import CLOUD_SQL, LATTICE_SQL, cloud, lattice
 from cloudweave.streaming.occupancy import scan_counts
 
 
-@query("cluster_matrices", f"WITH {CLOUD_SQL} SELECT label + 1 AS cluster, count(*) AS points FROM pc GROUP BY 1")
+@query("cluster_matrices", f"WITH {CLOUD_SQL} SELECT label + 1 AS cluster, 'cluster' || (label + 1) || ' = [' || string_agg(printf('%f %f', x, y), '; ' ORDER BY pid) || '];' AS value FROM pc GROUP BY 1, label")
 def _(spark, sf):
     pc = cloud(spark, sf)
-    rows = text.cluster_matrices(pc.select("pid", "x", "y"), pc.select("pid", (F.col("label") + 1).alias("cluster")), 10)
-    return rows.select("cluster", F.size(F.split("value", ";")).cast("long").alias("points")).withColumn("points", F.col("points") - 1)
+    return text.cluster_matrices(pc.select("pid", "x", "y"), pc.select("pid", (F.col("label") + 1).alias("cluster")), 10)
 
 
-@query("residual_lines", f"WITH {CLOUD_SQL} SELECT 0::BIGINT AS k, printf('%d %.4f', count(*), sqrt(avg(x * x))) AS value FROM pc UNION ALL SELECT 1, printf('%.4f', abs(x)) FROM pc")
+@query("residual_lines", f"WITH {CLOUD_SQL} SELECT 0::BIGINT AS n, printf('%d %.4f', count(*), sqrt(avg(x * x))) AS value FROM pc UNION ALL SELECT row_number() OVER (ORDER BY pid), printf('%.4f', abs(x)) FROM pc")
 def _(spark, sf):
     found = cloud(spark, sf).select(F.col("pid").alias("i"), F.col("pid").alias("j"), F.abs("x").alias("residual"))
-    return text.residual_lines(found).select(F.when(F.col("n") == 0, 0).otherwise(1).cast("long").alias("k"), "value")
+    return text.residual_lines(found)
 
 
 @query("voxel_mesh", f"""WITH {LATTICE_SQL}, v AS (SELECT floor(x / 10.0)::BIGINT AS vx, floor(y / 5.0)::BIGINT AS vy, floor(z / 5.0)::BIGINT AS vz, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM lat GROUP BY 1, 2, 3)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudweave.functions.geometry import XYZ
+from cloudweave.operators.ranking import ranked
 
 
 def read_points(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
@@ -44,7 +45,7 @@ def cluster_matrices(points: DataFrame, clusters: DataFrame, wanted: int | None
 def residual_lines(found: DataFrame) -> DataFrame:
     """(n, value): a first line with count and RMS, then one residual a line with four decimals, in order of the pair."""
     head = found.agg(F.count("*").alias("c"), F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("r")).select(F.lit(0).cast("long").alias("n"), F.format_string("%d %.4f", "c", F.coalesce("r", F.lit(0.0))).alias("value"))
-    lines = found.select((F.xxhash64("i", "j").bitwiseAND(F.lit((1 << 62) - 1)) + 1).alias("n"), F.format_string("%.4f", "residual").alias("value"))
+    lines = ranked(found.select("i", "j", "residual"), [F.col("i"), F.col("j")], "n").select("n", F.format_string("%.4f", "residual").alias("value"))
     return head.unionByName(lines)
 
 
@@ -95,7 +96,7 @@ def read_map_collection(spark: SparkSession, path: str) -> DataFrame:
     lines = F.filter(F.transform(F.split("value", "\n"), lambda s: F.trim(s)), lambda s: ~s.startswith("#") & (s != ""))
     words = F.flatten(F.transform(lines, lambda s: F.split(s, r"\s+")))
     whole = spark.read.text(path, wholetext=True).select(F.array_join(words, " ").alias("t"))
-    parts = whole.select(F.explode(F.slice(F.split("t", "MAPNODEID:? "), 2, 1_000_000)).alias("p"))
+    parts = whole.select(F.posexplode(F.split("t", "MAPNODEID:? ")).alias("k", "p")).where("k > 0")
     pose = F.split(F.trim(F.regexp_extract("p", r"MAPNODEPOSE:? ([-+.eE0-9 ]+)", 1)), " ")
     return parts.select(
         F.trim(F.regexp_extract("p", r"^(\S+)", 1)).alias("map_id"), F.regexp_extract("p", r"MAPNODEFILENAME:? (\S+)", 1).alias("file"),
