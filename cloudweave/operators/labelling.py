@@ -150,7 +150,7 @@ def energy(labelling: DataFrame, data_cost: DataFrame, neighbors: DataFrame | No
     s = none.select(F.lit(0).cast("long").alias("smooth"))
     if neighbors is not None and smooth is not None:
         a, b = labelling.select(F.col("site").alias("p"), F.col("label").alias("l1")), labelling.select(F.col("site").alias("q"), F.col("label").alias("l2"))
-        s = neighbors.join(a, "p").join(b, "q").join(F.broadcast(smooth), ["l1", "l2"]).agg(F.coalesce(F.sum(F.col("w") * F.col("cost")), F.lit(0)).cast("long").alias("smooth"))
+        s = neighbors.join(a, "p").join(b, "q").join(smooth, ["l1", "l2"]).agg(F.coalesce(F.sum(F.col("w") * F.col("cost")), F.lit(0)).cast("long").alias("smooth"))
     c = none.select(F.lit(0).cast("long").alias("label"))
     if label_cost is not None:
         used = label_cost.join(labelling.select("label").distinct(), "label", "left_semi").select("set_id", "cost").distinct()

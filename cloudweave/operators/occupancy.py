@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudweave.functions.geometry import XYZ, clamp
+from cloudweave.functions.geometry import XYZ, clamp, dot
 from cloudweave.operators.iteration import cut
 
 DEPTH = 16
@@ -389,16 +389,17 @@ def search(cells: DataFrame, points: DataFrame, resolution: float, depth: int =
     return out.join(best, "pid", "left")
 
 
-def cast_rays(cells: DataFrame, rays: DataFrame, resolution: float, max_range: float, ignore_unknown: bool = False, sensor: Sensor = Sensor()) -> DataFrame:
+def cast_rays(cells: DataFrame, rays: DataFrame, resolution: float, max_range: float, ignore_unknown: bool = False, sensor: Sensor = Sensor(), by: Sequence[str] = ()) -> DataFrame:
     """(ray_id, hit, kx, ky, kz) of rays (ray_id, ox, oy, oz, dx, dy, dz): the first cell that is occupied, unknown (unless ignored) or
     whose centre lies beyond max_range ends a ray; only the first of these is a hit. No row for rays that nothing ends before the range.
-    Leaves of any depth count, as the cells they cover.
+    Leaves of any depth count, as the cells they cover. ``by``: fields of a ray_id struct that choose among the cells by columns of that name.
     """
     norm = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
     reach = max_range + 2 * resolution
     ends = {d: F.col("o" + d) + F.col("d" + d) / norm * reach for d in XYZ}
     streams = ray_keys(rays.where(norm > 0).withColumns(ends).select("ray_id", "ox", "oy", "oz", *XYZ), resolution)
-    seen = with_leaf(streams, cells, is_occupied(sensor), "occupied").join(rays.select("ray_id", "ox", "oy", "oz"), "ray_id")
+    streams = streams.withColumns({c: F.col("ray_id")[c] for c in by})
+    seen = with_leaf(streams, cells, is_occupied(sensor), "occupied", by).drop(*by).join(rays.select("ray_id", "ox", "oy", "oz"), "ray_id")
     away = sum(((coordinate_of(F.col(k), resolution) - F.col("o" + d)) ** 2 for k, d in zip(KEYS[1:], XYZ[1:], strict=True)), (coordinate_of(F.col("kx"), resolution) - F.col("ox")) ** 2)
     beyond = (F.col("step") > 0) & (away > max_range * max_range)
     stop = beyond | F.coalesce(F.col("occupied"), F.lit(not ignore_unknown))
@@ -500,18 +501,49 @@ def surface_normals(cells: DataFrame, wanted: DataFrame, sensor: Sensor = Sensor
 
 
 def _into_maps(maps: DataFrame, points: DataFrame) -> DataFrame:
-    """Points in the frame of every map (map_id, x, y, z, roll, pitch, yaw); the maps are few and broadcast."""
-    poses = F.broadcast(maps.select("map_id", *[F.col(d).alias("m" + d) for d in XYZ], "roll", "pitch", "yaw"))
-    both = points.select("pid", *XYZ).join(poses)
-    shift = [F.col(d) - F.col("m" + d) for d in XYZ]
+    """Points in the frame of every map (map_id, x, y, z, roll, pitch, yaw). Every point meets every map by definition; Spark broadcasts
+    the poses where they are small."""
+    both = points.select("pid", *XYZ).crossJoin(_poses(maps))
+    moved = _turned([F.col(d) - F.col("m" + d) for d in XYZ])
+    return both.select("pid", "map_id", *[m.alias(d) for m, d in zip(moved, XYZ, strict=True)])
+
+
+def _poses(maps: DataFrame) -> DataFrame:
+    return maps.select("map_id", *[F.col(d).alias("m" + d) for d in XYZ], "roll", "pitch", "yaw")
+
+
+def _rotation() -> tuple[tuple[Column, ...], ...]:
+    """Rows of the rotation from the world into a map of pose roll, pitch, yaw; its transpose leads back."""
     cr, sr, cp, sp, cy, sy = (f(c) for c in ("roll", "pitch", "yaw") for f in (F.cos, F.sin))
-    rows = (
+    return (
         (cy * cp, sy * cp, -sp),
         (cy * sp * sr - sy * cr, sy * sp * sr + cy * cr, cp * sr),
         (cy * sp * cr + sy * sr, sy * sp * cr - cy * sr, cp * cr),
     )
-    moved = [r[0] * shift[0] + r[1] * shift[1] + r[2] * shift[2] for r in rows]
-    return both.select("pid", "map_id", *[m.alias(d) for m, d in zip(moved, XYZ, strict=True)])
+
+
+def _turned(v: Sequence[Column], back: bool = False) -> list[Column]:
+    rows = _rotation()
+    return [dot(r, v) for r in (zip(*rows, strict=True) if back else rows)]
+
+
+def cast_rays_in_maps(maps: DataFrame, cells: DataFrame, rays: DataFrame, resolution: float, max_range: float, ignore_unknown: bool = False, sensor: Sensor = Sensor()) -> DataFrame:
+    """(ray_id, hit, map_id, x, y, z, distance) of rays cast in every map of a collection; cells carry map_id.
+
+    The closest hit of all maps counts, ties by map_id: x, y, z is its cell's centre in the world, distance that from the origin. Rays that hit in
+    no map have hit false and nulls; an empty collection hits nothing.
+    """
+    both = rays.select("ray_id", *["o" + d for d in XYZ], *["d" + d for d in XYZ]).crossJoin(_poses(maps))
+    origin, direction = _turned([F.col("o" + d) - F.col("m" + d) for d in XYZ]), _turned([F.col("d" + d) for d in XYZ])
+    local = both.select(F.struct("map_id", "ray_id").alias("ray_id"), *[c.alias("o" + d) for c, d in zip(origin, XYZ, strict=True)], *[c.alias("d" + d) for c, d in zip(direction, XYZ, strict=True)])
+    met = cast_rays(cells, local, resolution, max_range, ignore_unknown, sensor, by=["map_id"]).where("hit").join(local.select("ray_id", *["o" + d for d in XYZ]), "ray_id")
+    met = met.withColumns({"c" + d: coordinate_of(F.col("k" + d), resolution) for d in XYZ})
+    away = [F.col("c" + d) - F.col("o" + d) for d in XYZ]
+    best = met.groupBy(F.col("ray_id.ray_id").alias("ray_id")).agg(F.min(F.struct(F.sqrt(dot(away, away)).alias("distance"), F.col("ray_id.map_id").alias("map_id"), "cx", "cy", "cz")).alias("b"))
+    best = best.select("ray_id", "b.*").join(_poses(maps), "map_id")
+    world = [c + F.col("m" + d) for c, d in zip(_turned([F.col("c" + d) for d in XYZ], back=True), XYZ, strict=True)]
+    found = best.select("ray_id", F.lit(True).alias("hit"), "map_id", *[c.alias(d) for c, d in zip(world, XYZ, strict=True)], "distance")
+    return rays.select("ray_id").join(found, "ray_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def search_maps(maps: DataFrame, cells: DataFrame, points: DataFrame, resolution: float, sensor: Sensor = Sensor()) -> DataFrame:

@@ -281,6 +281,60 @@ def _(spark, sf):
     return oc.search_maps(_maps(spark), both, cloud(spark, sf), RES).withColumns({"map_id": F.coalesce("map_id", F.lit(-1)), "probability": F.round("probability", 6)})
 
 
+#: The second map, shifted and turned, holds the same cells: a ray is cast in each with its origin and direction in that map's frame.
+_MAP_RAYS = """cr AS (SELECT ray_id, map_id, mx, my, mz, yaw, cos(yaw) * (ox - mx) + sin(yaw) * (oy - my) AS ox, -sin(yaw) * (ox - mx) + cos(yaw) * (oy - my) AS oy, oz - mz AS oz,
+ cos(yaw) * (x - ox) + sin(yaw) * (y - oy) AS ex, -sin(yaw) * (x - ox) + cos(yaw) * (y - oy) AS ey, z - oz AS ez FROM s, m)"""
+
+
+@query("map_cast_rays", f"""WITH RECURSIVE {SCANS}, {CELLS}, known AS MATERIALIZED (SELECT * FROM cells), m(map_id, mx, my, mz, yaw) AS (VALUES (1, 0.0, 0.0, 0.0, 0.0), (2, 0.1, -0.05, 0.0, 0.5)), {_MAP_RAYS},
+c AS (WITH r AS (SELECT map_id AS scan_id, ray_id, ox, oy, oz, {", ".join(f"o{d} + e{d} / sqrt(ex * ex + ey * ey + ez * ez) * 0.5::DOUBLE AS {d}" for d in "xyz")} FROM cr), {TRACE}
+ SELECT t.scan_id AS map_id, t.ray_id, t.step, known.log_odds >= 0 AS occupied, {", ".join(f"(t.k{d} - 32768 + 0.5::DOUBLE) * {RES}::DOUBLE AS c{d}" for d in "xyz")}, q.ox, q.oy, q.oz
+ FROM rays t JOIN q ON q.scan_id = t.scan_id AND q.ray_id = t.ray_id LEFT JOIN known ON known.kx = t.kx AND known.ky = t.ky AND known.kz = t.kz),
+d AS (SELECT *, sqrt((cx - ox) * (cx - ox) + (cy - oy) * (cy - oy) + (cz - oz) * (cz - oz)) AS away FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY map_id, ray_id ORDER BY step) AS n FROM d WHERE coalesce(occupied, FALSE) OR (step > 0 AND away > 0.4::DOUBLE)),
+b AS (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY away, map_id) AS k FROM f WHERE n = 1 AND occupied AND NOT (step > 0 AND away > 0.4::DOUBLE))
+SELECT s.ray_id, b.map_id IS NOT NULL AS hit, coalesce(b.map_id, -1)::INT AS map_id, round(cos(yaw) * cx - sin(yaw) * cy + mx, 6) AS x, round(sin(yaw) * cx + cos(yaw) * cy + my, 6) AS y, round(cz + mz, 6) AS z, round(away, 6) AS distance
+FROM s LEFT JOIN (SELECT b.*, yaw, mx, my, mz FROM b JOIN m ON m.map_id = b.map_id WHERE k = 1) b ON b.ray_id = s.ray_id""")
+def _(spark, sf):
+    cells = table(spark, sf)
+    both = cells.withColumn("map_id", F.lit(1)).unionByName(cells.withColumn("map_id", F.lit(2)))
+    found = oc.cast_rays_in_maps(_maps(spark), both, _casts(spark, sf), RES, 0.4, ignore_unknown=True)
+    return found.withColumns({"map_id": F.coalesce("map_id", F.lit(-1)), **{c: F.round(c, 6) for c in (*XYZ, "distance")}})
+
+
+#: A made table in which blocks merge: eight cells a side without one corner; a quarter of a side in one state merges twice, smaller blocks once, mixed ones never.
+_STATE = "CASE WHEN kx < 32772 AND ky < 32772 AND kz < 32772 THEN 3.5 WHEN kx >= 32772 THEN -2.0 WHEN (kx div 2 + ky div 2 + kz div 2) % 3 = 0 THEN 3.5 WHEN (kx div 2 + ky div 2 + kz div 2) % 3 = 1 THEN -2.0 WHEN (kx + ky + kz) % 2 = 0 THEN 3.5 ELSE -2.0 END"
+BLOCKS = f"""b AS (SELECT *, ({_STATE.replace("div", "//")})::DOUBLE AS lo FROM (SELECT 32768 + x.i AS kx, 32768 + y.i AS ky, 32768 + z.i AS kz FROM range(8) x(i), range(8) y(i), range(8) z(i)) WHERE kx + ky + kz < 98325),
+l15 AS (SELECT kx >> 1 AS x, ky >> 1 AS y, kz >> 1 AS z, min(lo) AS lo FROM b GROUP BY 1, 2, 3 HAVING count(*) = 8 AND min(lo) = max(lo)),
+l14 AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, min(lo) AS lo FROM l15 GROUP BY 1, 2, 3 HAVING count(*) = 8 AND min(lo) = max(lo)),
+pruned AS (SELECT x * 4 + 2 AS kx, y * 4 + 2 AS ky, z * 4 + 2 AS kz, 14 AS depth, lo FROM l14
+ UNION ALL SELECT x * 2 + 1, y * 2 + 1, z * 2 + 1, 15, lo FROM l15 WHERE (x >> 1, y >> 1, z >> 1) NOT IN (SELECT (x, y, z) FROM l14)
+ UNION ALL SELECT kx, ky, kz, 16, lo FROM b WHERE (kx >> 1, ky >> 1, kz >> 1) NOT IN (SELECT (x, y, z) FROM l15))"""
+
+
+def _blocks(spark):
+    keys = spark.range(512).select(*[(F.lit(32768) + F.expr(f"id div {w} % 8")).cast("int").alias(k) for k, w in zip(oc.KEYS, (1, 8, 64))]).where("kx + ky + kz < 98325")
+    return keys.select(*oc.KEYS, F.lit(16).alias("depth"), F.expr(_STATE).cast("double").alias("log_odds"))
+
+
+@query("blocks_pruned", f"WITH {BLOCKS} SELECT {_INT}, depth, lo AS log_odds FROM pruned")
+def _(spark, sf):
+    return oc.prune(_blocks(spark))
+
+
+@query("blocks_expanded", f"WITH {BLOCKS} SELECT {_INT}, 16 AS depth, lo AS log_odds FROM b")
+def _(spark, sf):
+    return oc.expand(cut(oc.prune(_blocks(spark))))
+
+
+@query("blocks_search", f"""WITH {BLOCKS}, p AS (SELECT i AS pid, 32767 + i % 10 AS kx, 32767 + i // 10 % 10 AS ky, 32767 + i // 100 AS kz FROM range(1000) r(i))
+SELECT p.pid, b.lo AS log_odds, coalesce(t.depth, -1)::INT AS found_depth FROM p LEFT JOIN b ON b.kx = p.kx AND b.ky = p.ky AND b.kz = p.kz
+LEFT JOIN pruned t ON t.kx >> (16 - t.depth) = p.kx >> (16 - t.depth) AND t.ky >> (16 - t.depth) = p.ky >> (16 - t.depth) AND t.kz >> (16 - t.depth) = p.kz >> (16 - t.depth)""")
+def _(spark, sf):
+    points = spark.range(1000).select(F.col("id").alias("pid"), *[((F.expr(f"id div {w} % 10") - 0.5) * RES).alias(d) for d, w in zip(XYZ, (1, 10, 100))])
+    return oc.search(cut(oc.prune(_blocks(spark))), points, RES).withColumn("found_depth", F.coalesce("found_depth", F.lit(-1)))
+
+
 @query("map_pointcloud", f"WITH RECURSIVE {SCANS}, {CELLS} SELECT round((kx - 32768 + 0.5) * {RES}, 6) AS x, round((ky - 32768 + 0.5) * {RES}, 6) AS y, round((kz - 32768 + 0.5) * {RES}, 6) AS z FROM cells WHERE log_odds >= 0")
 def _(spark, sf):
     return oc.occupied_centres(table(spark, sf), RES).select(*[F.round(d, 6).alias(d) for d in XYZ])

@@ -140,3 +140,48 @@ def test_voxel_components_of_a_sparse_lattice(spark):
     df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], KIND)
     got = clustering.voxel_components(df, (1.0, 1.0, 1.0)).collect()
     assert {(r["vx"], r["vy"], r["vz"]): r["cluster"] for r in got} == want
+
+
+def sequential_reachable(p, ranked_centres, dc, least):
+    """Clusters of the centres' components, started in order of rank; a loose centre beside none that started takes a number."""
+    n = len(p)
+    d2 = ((p[:, None] - p[None]) ** 2).sum(axis=2)
+    near = (d2 <= dc * dc) & ~np.eye(n, dtype=bool)
+    core = near.sum(axis=1) >= least
+    cluster, number = np.zeros(n, dtype=int), 0
+    for c in ranked_centres:
+        if not core[c]:
+            number += not (near[c] & core & (cluster > 0)).any()
+        elif not cluster[c]:
+            number += 1
+            stack = [c]
+            cluster[c] = number
+            while stack:
+                q = stack.pop()
+                for j in np.flatnonzero(near[q] & core & (cluster == 0)):
+                    cluster[j] = number
+                    stack.append(j)
+    return core, cluster
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_density_reachable_cores(spark, seed):
+    p = random_cloud(seed)
+    pc = frame(spark, p)
+    order = [int(k) for k in np.random.default_rng(seed).permutation(len(p))[:14]]
+    heads = spark.createDataFrame([(c, k + 1) for k, c in enumerate(order)], "pid long, rank long")
+    got = {r["pid"]: r["cluster"] for r in density_peaks.density_reachable(pc, neighbours.neighbours(pc, 0.8), heads, 0.5, 4).collect()}
+    core, wanted = sequential_reachable(p, order, 0.5, 4)
+    assert len(got) == len(p) and all(got[k] == wanted[k] for k in np.flatnonzero(core))
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_ranks_over_ranges(spark, n):
+    from pyspark.sql import functions as F
+
+    from cloudweave.operators.ranking import ranked
+
+    rows = spark.range(n).select(F.col("id"), (F.col("id") * 7919 % 13).alias("v"))
+    got = [(r["v"], r["id"]) for r in ranked(rows, [F.desc("v"), F.col("id")], "r").orderBy("r").collect()]
+    assert got == sorted(((k * 7919 % 13, k) for k in range(n)), key=lambda t: (-t[0], t[1]))
+    assert sorted(r["r"] for r in ranked(rows, [F.desc("v"), F.col("id")], "r").collect()) == list(range(1, n + 1))

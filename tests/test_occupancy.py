@@ -166,3 +166,14 @@ def test_pruned_tables_answer_like_whole_ones(spark):
     assert as_set(a) == as_set(oc.expand(b)) and b.count() < a.count()
     values = updates.select(*oc.KEYS, F.lit(0.3).alias("log_odds")).distinct()
     assert as_set(oc.set_values(whole, values)) == as_set(oc.expand(oc.set_values(pruned, values)))
+
+
+def test_cast_rays_in_maps(spark):
+    # Both maps hold one cell ahead of the first ray; that of the second, shifted map is closer.
+    wall = spark.createDataFrame([("a", 32778, 32768, 32768, 16, 3.5), ("b", 32772, 32768, 32768, 16, 3.5)], "map_id string, kx int, ky int, kz int, depth int, log_odds double")
+    maps = spark.createDataFrame([("a", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), ("b", 0.2, 0.0, 0.0, 0.0, 0.0, 0.0)], "map_id string, x double, y double, z double, roll double, pitch double, yaw double")
+    rays = spark.createDataFrame([(1, 0.05, 0.05, 0.05, 1.0, 0.0, 0.0), (2, 0.05, 0.05, 0.05, 0.0, 1.0, 0.0)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    hit, miss = oc.cast_rays_in_maps(maps, wall, rays, 0.1, 3.0, ignore_unknown=True).orderBy("ray_id").collect()
+    assert hit["hit"] and hit["map_id"] == "b" and abs(hit["x"] - 0.65) < 1e-9 and abs(hit["distance"] - 0.6) < 1e-9
+    assert not miss["hit"] and miss["map_id"] is None and miss["x"] is None
+    assert [r["hit"] for r in oc.cast_rays_in_maps(maps.limit(0), wall, rays, 0.1, 3.0).collect()] == [False, False]
