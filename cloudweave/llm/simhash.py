@@ -201,8 +201,8 @@ SIMILARITY = 0.8
 SHINGLE_WORDS = 5
 #: Members of one shingle of which every pair is proposed; larger crowds are compared in blocks.
 ALL_PAIRS = 24
-#: Members of a crowd in one block, and links first tested between a member and another component.
-CROWD_BLOCK, FIRST_TESTS = 2048, 2
+#: Members of a crowd in one block, their shingles at most about, and partners of a member tested at a time.
+CROWD_BLOCK, CROWD_SHINGLES, FIRST_TESTS = 2048, 1 << 20, 8
 #: Documents that the order of shingles is drawn from: a share of the table, and this many at least.
 ORDER_ROWS, ORDER_SHARE = 20_000, 0.02
 #: Shingles found this often there, the most frequent first, come last in the order.
@@ -321,6 +321,12 @@ def _possible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
     return _both(pairs, reps, "n", "bits").mapInArrow(run, "src long, dst long")
 
 
+def _alike(u: np.ndarray, v: np.ndarray, similarity: float) -> bool:
+    """Have two shingle sets that Jaccard similarity or more?"""
+    shared = len(np.intersect1d(u, v, assume_unique=True))
+    return shared >= similarity * (len(u) + len(v) - shared)
+
+
 def _similar(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """The pairs (src, dst) whose texts (node, _t) have similar shingle sets. Texts take less room in the joins than their sets."""
 
@@ -328,49 +334,76 @@ def _similar(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = (shingle_set(t.as_py().translate(LOWER).split()) for t in (x, y))
-                shared = len(np.intersect1d(u, v, assume_unique=True))
-                good.append(shared >= similarity * (len(u) + len(v) - shared))
+                good.append(_alike(*(shingle_set(t.as_py().translate(LOWER).split()) for t in (x, y)), similarity))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return _both(pairs, known, "_t").mapInArrow(run, "src long, dst long")
 
 
+def _partners(rows: pa.Table, of: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of one block (node, n, pos, c, slice, bits): those of other components, by ``of`` as it then is, that the sketches
+    leave possible, nearest first. Every pair is compared once."""
+    n, pos, part = (rows.column(x).to_numpy() for x in ("n", "pos", "slice"))
+    n = n.astype(np.int64)
+    bits = rows.column("bits").to_pylist()
+    width = np.array([len(b) for b in bits])
+    one_slice = len(np.unique(part)) == 1
+    for w in np.unique(width).tolist():
+        # Every pair is compared at the shorter of its two widths.
+        at = np.flatnonzero(width >= w)
+        folded = np.frombuffer(b"".join(_folded(bits[i], w) for i in at), dtype=np.uint64).reshape(len(at), -1)
+        for here in np.flatnonzero(width[at] == w).tolist():
+            i = int(at[here])
+            maybe = (of[at] != of[i]) & _reach(n[i], pos[i], n[at], pos[at], similarity) & ((width[at] > w) | (at > i))
+            if not one_slice:
+                maybe &= part[at] != part[i]
+            left = np.flatnonzero(maybe)
+            apart = np.bitwise_count(folded[left] ^ folded[here]).sum(axis=1)
+            near = np.argsort(apart, kind="stable")
+            yield i, at[left[near[apart[near] <= _most_apart(n[i], n[at[left[near]]], similarity)]]]
+
+
+def _with_partners(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """Makes a function of one block's members: those that have a possible partner. The texts of the others are not needed."""
+
+    def keep(rows: pa.Table) -> pa.Table:
+        good = np.zeros(rows.num_rows, dtype=bool)
+        for i, j in _partners(rows, rows.column("c").to_numpy(), similarity):
+            good[j] = True
+            good[i] |= len(j) > 0
+        return rows.filter(pa.array(good))
+
+    return keep
+
+
 def _crowd_links(tests: int, similarity: float) -> Callable[[pa.Table], pa.Table]:
-    """Makes a function of one block's members (node, n, pos, c, slice, bits): possible pairs of different components (src, dst, more).
+    """Makes a function of one block's members, with their texts _t: links (src, dst) of similar members that join components.
 
-    A member is paired with ``tests`` members of each other component at most; more says that there were others.
+    A member's possible partners in other components are compared with it exactly, nearest sketches first, ``tests`` at a time. A pair found
+    similar joins two components at once, so a block of m members gives less than m links, and between them they hold all that are similar.
     """
 
     def pair(rows: pa.Table) -> pa.Table:
-        node, n, pos, c, part = (rows.column(x).to_numpy() for x in ("node", "n", "pos", "c", "slice"))
-        n = n.astype(np.int64)
-        bits = rows.column("bits").to_pylist()
-        width = np.array([len(b) for b in bits])
-        one_slice = len(np.unique(part)) == 1
-        src, dst, more = [], [], []
-        for w in np.unique(width).tolist():
-            # Every pair is compared at the shorter of its two widths.
-            at = np.flatnonzero(width >= w)
-            folded = np.frombuffer(b"".join(_folded(bits[i], w) for i in at), dtype=np.uint64).reshape(len(at), -1)
-            for here in np.flatnonzero(width[at] == w).tolist():
-                i = at[here]
-                maybe = (c[at] != c[i]) & _reach(n[i], pos[i], n[at], pos[at], similarity) & ((width[at] > w) | (at > i))
-                if not one_slice:
-                    maybe &= part[at] != part[i]
-                left = np.flatnonzero(maybe)
-                apart = np.bitwise_count(folded[left] ^ folded[here]).sum(axis=1)
-                j = at[left[apart <= _most_apart(n[i], n[at[left]], similarity)]]
-                if len(j):
-                    j = j[np.argsort(c[j], kind="stable")]
-                    start = np.flatnonzero(np.diff(c[j], prepend=c[j[:1]] - 1))
-                    length = np.diff(np.append(start, len(j)))
-                    keep = np.arange(len(j)) - np.repeat(start, length) < tests
-                    src.append(np.full(keep.sum(), node[i]))
-                    dst.append(node[j[keep]])
-                    more.append(np.repeat(length > tests, length)[keep])
-        empty = [np.zeros(0, dtype=np.int64)]
-        return pa.table([np.concatenate(src or empty), np.concatenate(dst or empty), pa.array(np.concatenate(more or empty).astype(bool))], names=["src", "dst", "more"])
+        node, texts = rows.column("node").to_numpy(), rows.column("_t")
+        of = np.unique(rows.column("c").to_numpy(), return_inverse=True)[1]
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(texts[i].as_py().translate(LOWER).split())
+            return sets[i]
+
+        src, dst = [], []
+        for i, j in _partners(rows, of, similarity):
+            while len(j):
+                for k in j[:tests].tolist():
+                    if of[k] != of[i] and _alike(shingles(i), shingles(k), similarity):
+                        src.append(node[i])
+                        dst.append(node[k])
+                        of[of == of[k]] = of[i]
+                j = j[tests:]
+                j = j[of[j] != of[i]]
+        return pa.table([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
     return pair
 
@@ -389,26 +422,21 @@ def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
 def _link_crowds(crowds: DataFrame, component: DataFrame, reps: DataFrame, known: DataFrame, similarity: float, block: int = CROWD_BLOCK, tests: int = FIRST_TESTS) -> DataFrame:
     """component (node, c), with all similar members of each crowd (k, node, n, pos) in one.
 
-    Crowds that the links so far hold together are done. In the others the sketches of members of different components are
-    compared block by block, and the pairs they leave are tested: ``tests`` of a member with each other component, eight times as
-    many in each further turn, until none is left out. So nothing is missed, and a crowd of near copies never gives all its pairs.
+    Crowds that the links so far hold together are done. In the others members of different components are compared block by block, first
+    all by their sketches, then those with a possible partner by their texts, ``tests`` at a time. A block holds so many members, or so
+    many shingles, at most about; it gives links that join components only, so a crowd of near copies never gives all its pairs.
     """
-    while not crowds.isEmpty():
-        placed = materialise(crowds.join(component, "node", "left").select("k", "node", "n", "pos", F.coalesce("c", "node").alias("c")))
-        sizes = placed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-        apart = placed.join(sizes.select("k", F.ceil(F.col("m") / block).cast("int").alias("parts")), "k")
-        apart = apart.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        apart = apart.join(reps.select("node", "bits"), "node").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        apart = apart.withColumns({"a": F.least("slice", "other"), "b": F.greatest("slice", "other")})
-        found = apart.select("k", "a", "b", "node", "n", "pos", "c", "slice", "bits").groupBy("k", "a", "b").applyInArrow(_crowd_links(tests, similarity), "src long, dst long, more boolean")
-        found = materialise(found.select(*_ordered("src", "dst"), "more").groupBy("src", "dst").agg(F.max("more").alias("more")))
-        links = materialise(_similar(found.select("src", "dst"), known, similarity))
-        if not links.isEmpty():
-            component = _merged(component, links)
-        if found.where("more").isEmpty():
-            break
-        crowds, tests = placed.select("k", "node", "n", "pos").join(sizes.select("k"), "k", "left_semi"), tests * 8
-    return component
+    placed = materialise(crowds.join(component, "node", "left").select("k", "node", "n", "pos", F.coalesce("c", "node").alias("c")))
+    sizes = placed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("all")).where("lo <> hi")
+    parts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("all") / CROWD_SHINGLES)).cast("int")
+    apart = placed.join(sizes.select("k", parts.alias("parts")), "k")
+    apart = apart.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    apart = apart.join(reps.select("node", "bits"), "node").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    apart = apart.withColumns({"a": F.least("slice", "other"), "b": F.greatest("slice", "other")}).select("k", "a", "b", "node", "n", "pos", "c", "slice", "bits")
+    possible = materialise(apart.groupBy("k", "a", "b").applyInArrow(_with_partners(similarity), apart.schema))
+    found = possible.join(known, "node").groupBy("k", "a", "b").applyInArrow(_crowd_links(tests, similarity), "src long, dst long")
+    links = materialise(found.select(*_ordered("src", "dst")).distinct())
+    return component if links.isEmpty() else _merged(component, links)
 
 
 def _byte_index_pairs(reps: DataFrame) -> DataFrame:

@@ -195,3 +195,23 @@ def test_near_duplicates_keep_rows_without_an_id_and_other_texts_of_an_id(spark)
     got = __import__("corpus_pipeline").near_duplicates(spark, df, "").select("doc_id", "text").collect()
     want = [(None, one), (None, "no id"), (1, one), (1, two), (3, three), (4, None)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_a_crowd_gives_fewer_links_than_members():
+    import pyarrow as pa
+
+    # Copies similar to one another, copies similar to their original only, and texts that only share a passage.
+    rnd = random.Random(9)
+    texts = star(rnd, 120, 120, 1) + star(rnd, 120, 100, 2) + [" ".join("p%d" % k for k in range(30)) + " q%d" % rnd.randrange(10**9) * rnd.choice((1, 40)) for _ in range(20)]
+    sets = [simhash.shingle_set(t.encode().split()) for t in texts]
+    m = len(texts)
+    for parts, tests in ((1, 2), (2, 1)):
+        rows = pa.table({
+            "node": pa.array(range(m), pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "pos": pa.array([0] * m, pa.int32()), "c": pa.array(range(m), pa.int64()),
+            "slice": pa.array([k % parts for k in range(m)], pa.int32()), "bits": [simhash.parity_sketch(s) for s in sets], "_t": [t.encode() for t in texts],
+        })
+        got = simhash._crowd_links(tests, 0.8)(rows)
+        links = list(zip(got.column("src").to_pylist(), got.column("dst").to_pylist(), strict=True))
+        pairs = [(a, b) for a, b in itertools.combinations(range(m), 2) if (parts == 1 or a % 2 != b % 2) and jaccard(texts[a], texts[b]) >= 0.8]
+        assert len(links) < m < len(pairs) and set(links) <= set(pairs) | {(b, a) for a, b in pairs}
+        assert classes(links, range(m)) == classes(pairs, range(m))
