@@ -7,6 +7,10 @@ those of the input.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +50,41 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             named = star.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return named.unionByName(named.select(F.col("component").alias("node"), "component").distinct())
         seen = now
+
+
+def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes reaches by the edges u, v."""
+    root = np.arange(n)
+    while len(u):
+        a, b = root[u], root[v]
+        apart = a != b
+        u, v = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+        root[u] = v
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def stars(edges: DataFrame, src: str, dst: str, rows: int = 1 << 20) -> DataFrame:
+    """(src, dst) as longs with the same components and no more rows a task than it has nodes: each task links nodes to their smallest."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [np.zeros((2, 0), dtype=np.int64)], 0
+
+        def folded() -> list[np.ndarray]:
+            both = np.concatenate(kept, axis=1)
+            ids, of = np.unique(both, return_inverse=True)
+            of = of.reshape(both.shape)
+            root = roots(of[0], of[1], len(ids))
+            return [np.stack([ids, ids[root]])[:, root != np.arange(len(ids))]]
+
+        for b in batches:
+            kept.append(np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]))
+            held += b.num_rows
+            if held >= rows:
+                kept, held = folded(), 0
+        u, v = folded()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=[src, dst])
+
+    ends = edges.select(F.col(src).cast("long").alias(src), F.col(dst).cast("long").alias(dst)).where(F.col(src) != F.col(dst))
+    return ends.mapInArrow(reduce, f"{src} long, {dst} long")

@@ -1,13 +1,16 @@
 """Golden labelling cases (four sites, nine labels), refusals, and brute force for flows and assignments."""
 
 import itertools
+import resource
+import threading
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloudweave.operators import assignment, labelling
-from cloudweave.operators.flow import FlowNetwork
+from cloudweave.operators import assignment, components, labelling
+from cloudweave.operators.flow import ArrayNetwork, FlowNetwork
 
 A = ["125842379", "312545555", "555545213", "973248521"]
 B = ["125842379", "311545555", "555545113", "973248521"]
@@ -139,3 +142,89 @@ def test_segmentation_evaluation(spark):
 def test_grid_neighbors(spark):
     assert labelling.grid_neighbors(spark, 3, 2).where(F.col("p") >= F.col("q")).count() == 0
     assert labelling.grid_neighbors(spark, 3, 2).count() == 7
+
+
+def dense(spark, n):
+    """One component of n sites that are all neighbours; two in five have label 5 for nothing, the others label 2."""
+    p = labelling.Labelling(spark, n, 6)
+    site = spark.range(1, n + 1, numPartitions=2).select(F.col("id").cast("int").alias("site"))
+    p.data_cost = site.withColumn("label", F.explode(F.sequence(F.lit(1), F.lit(6)))).select("site", "label", F.when(F.col("label") == F.when(F.col("site") % 5 < 2, 5).otherwise(2), 0).otherwise(9).cast("long").alias("cost"))
+    p.neighbors = site.withColumnRenamed("site", "p").select("p", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("q")).where("p < q").withColumn("w", F.lit(2).cast("long"))
+    return p
+
+
+def grown_and_labels(p, start, **how):
+    """MB by which the largest Python worker grew during the moves, and the number of sites by label."""
+    first, grown, over = {}, [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            for at in Path("/proc").glob("[0-9]*"):
+                try:
+                    if b"pyspark.daemon" in (at / "cmdline").read_bytes():
+                        now = int((at / "statm").read_text().split()[1]) * resource.getpagesize() >> 20
+                        grown[0] = max(grown[0], now - first.setdefault(at.name, now))
+                except OSError:
+                    continue
+
+    seen = threading.Thread(target=watch)
+    seen.start()
+    try:
+        found = dict(p.expansion(start, **how).groupBy("label").count().collect())
+    finally:
+        over.set()
+        seen.join()
+    return grown[0], found
+
+
+def test_expansion_on_a_dense_component(spark):
+    """719,400 pairs in one component; a tuple for each and a network of them all took hundreds of MB."""
+    grown, found = grown_and_labels(dense(spark, 1200), None)
+    assert found == {2: 1200} and grown < 200
+
+
+def test_array_network_against_blocking_flows():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, m = 9, int(rng.integers(1, 30))
+        excess, (a, b) = rng.integers(-6, 7, n), rng.integers(0, n, (2, m))
+        forth, back = rng.integers(0, 5, (2, m))
+        whole, net = FlowNetwork(n + 2), ArrayNetwork(excess)
+        for k in range(n):
+            whole.edge(n, k, max(excess[k], 0))
+            whole.edge(k, n + 1, max(-excess[k], 0))
+        for part in np.array_split(np.arange(m), 3):
+            for k in part:
+                whole.edge(a[k], b[k], forth[k], back[k])
+            net.add(a[part], b[part], forth[part], back[part])
+            net.run()
+        whole.run(n, n + 1)
+        assert net.source_side().tolist() == whole.cut_side(n)[:n]
+
+
+def test_moves_against_all_choices():
+    """A move's pairs enter the network in several steps; its result is still the best of all choices, with most sites changed."""
+    rng = np.random.default_rng(6)
+    v = np.abs(np.subtract.outer(np.arange(4), np.arange(4))).clip(max=2).astype(float)
+    for _ in range(40):
+        n = 7
+        cost, of = rng.integers(0, 12, (n, 4)).astype(float), rng.integers(1, 4, n)
+        p, q = np.array([x for x in itertools.combinations(range(n), 2) if rng.random() < 0.7] or [(0, 1)]).T
+        w = rng.integers(1, 4, len(p)).astype(float)
+        pairs = labelling.Pairs()
+        pairs.add(p, q, w)
+        pairs.number(np.arange(n))
+        parts = labelling.Parts(cost, np.zeros(n, dtype=int), pairs, v, [])
+        got = parts.moved(of, parts.around(of, 4), np.array([True]), 2, None)
+        choices = [np.where(np.array(x), 2, of) for x in itertools.product((False, True), repeat=n)]
+        best = min(choices, key=lambda x: (cost[np.arange(n), x].sum() + (w * v[x[p], x[q]]).sum(), -(x == 2).sum()))
+        assert got.tolist() == best.tolist()
+
+
+def test_stars_keep_components(spark):
+    rng = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))]
+    df = spark.createDataFrame(edges, "p int, q int").repartition(3)
+    few = components.stars(df, "p", "q", rows=16)
+    assert set(map(tuple, components.connected_components(few, "p", "q").collect())) == set(map(tuple, components.connected_components(df, "p", "q").collect()))
+    assert components.stars(df.coalesce(1).crossJoin(spark.range(9)).coalesce(1), "p", "q").count() < 400
