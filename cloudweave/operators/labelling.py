@@ -351,16 +351,20 @@ class Parts:
         near = self.around(of, self.cost.shape[1])
         value = self.value(of, near)
         active, full, alive = np.ones((self.parts, len(moves)), dtype=bool), np.ones(self.parts, dtype=bool), np.ones(self.parts, dtype=bool)
+        # A move that lowered nothing is not solved again in a component whose labels are still the same.
+        turn, tried = np.zeros(self.parts, dtype=np.int64), np.full(active.shape, -1)
         for _ in range(1 if only is not None else cycles):
             good = np.zeros_like(active)
             for m, (new, old) in enumerate(moves):
-                on = alive & active[:, m]
+                on = alive & active[:, m] & (tried[:, m] != turn)
+                tried[on, m] = turn[on]
                 to = self.moved(of, near, on, new, old) if on.any() else of
                 if (to == of).all():
                     continue
                 near_to = self.around(to, self.cost.shape[1])
                 now = self.value(to, near_to)
                 good[:, m] = now < value - LEAST
+                turn += good[:, m]
                 taken = good[:, m][self.part]
                 of, value = np.where(taken, to, of), np.where(good[:, m], now, value)
                 near = np.where(taken[:, None], near_to, near)

@@ -189,6 +189,12 @@ def test_one_expansion_on_a_dense_component(spark):
     assert found == {2: 1200} and grown < 200
 
 
+def test_swaps_on_a_dense_component(spark):
+    start = spark.range(1, 1201).select(F.col("id").cast("int").alias("site"), F.when(F.col("id") % 5 < 2, 5).otherwise(2).alias("label"))
+    grown, found = grown_and_labels(dense(spark, 1200), start, swap=True)
+    assert found == {2: 1200} and grown < 200
+
+
 def test_array_network_against_blocking_flows():
     rng = np.random.default_rng(5)
     for _ in range(60):
